@@ -52,4 +52,14 @@ r as (select d.*, g.source_size, g.target, floor(target + 1e-6)::bigint budget,
 select doc_id, size, source_size, target, (case when source_size > 0 then budget // source_size * size + greatest(0, least(size, budget % source_size - before)) else 0 end)::bigint taken from r
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_hash_tree_sharding": OP6, "op8_source_mixing": OP8}
+OP10 = """
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) e from embeddings),
+u as (select vec_id, e from v where e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_sum(list_transform(e, lambda x: x * x)) > 0),
+p as (select a.vec_id a, b.vec_id b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+r as (select vec_id a, vec_id c from v union select p.a, r.c from p join r on p.b = r.a),
+m as (select a, min(c) c from r group by a),
+n as (select a, count(*) n from p group by a)
+select v.vec_id, coalesce(n.n, 0)::bigint n_links, m.c component_id, v.vec_id = m.c kept from v left join m on v.vec_id = m.a left join n on v.vec_id = n.a
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_hash_tree_sharding": OP6, "op8_source_mixing": OP8, "op10_pstable_lsh": OP10}

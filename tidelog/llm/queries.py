@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelog.llm import mixing, sharding
+from tidelog.llm import embedding_lsh, mixing, sharding, simhash
 from tidelog.llm.common import read_table
 from tidelog.llm.oracles import ORACLE_SQL
 
 SHARDS = 24
 
 
+def op4_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words=4, reach=4)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op6_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     put = sharding.shard(docs, sharding.uniform_tree(SHARDS), sharding.uniform_tree(SHARDS + 1))
@@ -24,9 +30,16 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_pstable_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_lsh.near_vectors(read_table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash_vptree": op4_simhash_vptree,
     "op6_hash_tree_sharding": op6_hash_tree_sharding,
     "op8_source_mixing": op8_source_mixing,
+    "op10_pstable_lsh": op10_pstable_lsh,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
