@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import only, utf8, written
 
 #: Windows a piece has at most, and bytes of text that anchors are computed for at once.
-MOST, SLICE = 32, 2 << 20
+MOST, SLICE = 32, 1 << 17
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
