@@ -175,44 +175,47 @@ def keys(buckets: int):
 
 
 class RangeLeast:
-    """Least values of ranges of a uint8 array: tables for ranges up to 64, and a table over blocks of 64."""
+    """Least values of ranges of a uint8 array: tables for ranges up to 64, and tables over blocks of 64."""
+
+    LEVEL = np.frexp(np.arange(1 << 16).astype(np.float64))[1] - 1  # floor(log2)
 
     def __init__(self, x: np.ndarray) -> None:
-        self.small = self.levels(x, 6)
-        pad = -len(x) % 64
-        blocks = np.concatenate((x, np.full(pad, 255, np.uint8))).reshape(-1, 64).min(axis=1)
-        self.blocks = self.levels(blocks, max(1, int(len(blocks)).bit_length()))
+        self.small, self.x = self.levels(x, 7), x
+        self.blocks: np.ndarray | None = None
 
     @staticmethod
-    def levels(x: np.ndarray, most: int) -> list[np.ndarray]:
-        out = [x]
-        for k in range(most):
-            if len(out[-1]) <= 1 << k:
-                break
-            out.append(np.minimum(out[-1][: -(1 << k)], out[-1][1 << k :]))
+    def levels(x: np.ndarray, most: int) -> np.ndarray:
+        """Row k: the least of the 2^k values from each place on."""
+        out = np.empty((most, len(x)), np.uint8)
+        out[0] = x
+        for k in range(1, most):
+            half = min(1 << (k - 1), len(x))
+            np.minimum(out[k - 1, : len(x) - half], out[k - 1, half:], out=out[k, : len(x) - half])
+            out[k, len(x) - half :] = out[k - 1, len(x) - half :]
         return out
 
-    @staticmethod
-    def pick(levels: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    def pick(self, table: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Least of [lo, hi], both included."""
-        level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1
-        out = np.empty(len(lo), np.uint8)
-        for k in np.unique(level):
-            own = level == k
-            out[own] = np.minimum(levels[k][lo[own]], levels[k][hi[own] - (1 << int(k)) + 1])
-        return out
+        level = self.LEVEL[hi - lo + 1]
+        row = level * table.shape[1]
+        flat = table.ravel()
+        return np.minimum(flat[row + lo], flat[row + hi + 1 - (1 << level)])
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        out = np.empty(len(lo), np.uint8)
-        near = hi - lo < 64
-        out[near] = self.pick(self.small, lo[near], hi[near])
-        lo, hi = lo[~near], hi[~near]
-        if len(lo):
-            a, b = (lo >> 6) + 1, hi >> 6  # whole blocks between
-            ends = np.minimum(self.pick(self.small, lo, (a << 6) - 1), self.pick(self.small, b << 6, hi))
-            mid = a < b
+        far = np.flatnonzero(hi - lo >= 64)
+        if not len(far):
+            return self.pick(self.small, lo, hi)
+        out = self.pick(self.small, lo, np.minimum(hi, lo + 63))
+        if self.blocks is None:
+            blocks = np.concatenate((self.x, np.full(-len(self.x) % 64, 255, np.uint8))).reshape(-1, 64).min(axis=1)
+            self.blocks = self.levels(blocks, max(1, int(len(blocks)).bit_length()))
+        lo, hi = lo[far], hi[far]
+        a, b = (lo >> 6) + 1, hi >> 6  # whole blocks between
+        ends = np.minimum(out[far], self.pick(self.small, b << 6, hi))
+        mid = np.flatnonzero(a < b)
+        if len(mid):
             ends[mid] = np.minimum(ends[mid], self.pick(self.blocks, a[mid], b[mid] - 1))
-            out[~near] = ends
+        out[far] = ends
         return out
 
 
@@ -235,12 +238,13 @@ class Collection:
         suffixes that they prolong.
         """
         m, longest = symbols.shape
-        bwt, lcp = np.zeros(m, np.uint8), np.zeros(m, np.uint8)
+        both = np.zeros(m, np.uint16)  # symbol in the lower, common prefix in the upper byte
         place, who = np.arange(m), np.arange(m)
         for j in range(1, longest + 1):
             live = sizes[who] >= j
             place, who = place[live], who[live]
-            bwt[place] = symbols[who, longest - j]
+            both[place] |= symbols[who, longest - j]
+            bwt, lcp = both.astype(np.uint8), (both >> 8).astype(np.uint8)
             order = np.argsort(bwt, kind="stable")
             order = order[len(bwt) - np.count_nonzero(bwt) :]
             fresh = np.zeros(len(bwt), bool)
@@ -248,23 +252,22 @@ class Collection:
             new = np.flatnonzero(fresh[order])
             who = who[np.searchsorted(place, order[new])]
             place = new + m
-            size = m + len(order)
-            old = np.ones(size, bool)
+            old = np.ones(m + len(order), bool)
             old[place] = False
-            bwt2, lcp2 = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
-            bwt2[old], lcp2[old] = bwt, lcp
-            touched = np.zeros(len(order) + 1, bool)
-            touched[new] = touched[new + 1] = True
-            touched[0] = touched[-1] = False
-            k = np.flatnonzero(touched)
+            grown = np.zeros(m + len(order), np.uint16)
+            grown[old] = both
+            # new suffixes, and those behind them that are not new
+            behind = new[:-1][np.diff(new) > 1] + 1 if len(new) else new
+            if len(new) and new[-1] + 1 < len(order):
+                behind = np.append(behind, new[-1] + 1)
+            k = np.concatenate((new[1:] if len(new) and new[0] == 0 else new, behind))
             a, b = order[k - 1], order[k]
-            equal = bwt[a] == bwt[b]
-            lcp2[m + k] = 0
-            lcp2[m + k[equal]] = RangeLeast(lcp).of(a[equal] + 1, b[equal]) + 1
-            if len(order):
-                lcp2[m] = 0
-            bwt, lcp = bwt2, lcp2
-        return Collection(bwt, lcp, m)
+            common = np.zeros(len(k), np.uint16)
+            equal = np.flatnonzero(bwt[a] == bwt[b])
+            common[equal] = RangeLeast(lcp).of(a[equal] + 1, b[equal]).astype(np.uint16) + 1
+            grown[m + k] = grown[m + k] & np.uint16(0xFF) | common << 8
+            both = grown
+        return Collection(both.astype(np.uint8), (both >> 8).astype(np.uint8), m)
 
     def rows(self, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, strings, rows of their suffixes of that length), from length 1 on: a walk by the last-first map."""
@@ -296,7 +299,7 @@ def least_documents(texts: list[bytes], docs: np.ndarray, width: int) -> np.ndar
     return out
 
 
-def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int = 8 << 20, bucket_pieces: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int = 8 << 20, bucket_pieces: int = 6144, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, kept, spans): a document's bytes without those that repeat an earlier document, and where they were.
 
     A byte goes if some string of `width` bytes over it also starts in a document with a smaller id; strings are judged
@@ -307,14 +310,15 @@ def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int =
     Documents are dealt by hash into chunks of about chunk_bytes, which a task holds one at a time, so raise it with the
     executors' memory when there are very many chunks. Anchors go to buckets as 32-bit numbers; false matches among them
     cost work only. Per chunk each distinct piece is sent once, with the least of its documents, so a passage that any
-    share of all documents has is a piece a chunk. A task takes its pieces in parts of about bucket_pieces by anchor.
+    share of all documents has is a piece a chunk. A task takes its distinct pieces in parts of about bucket_pieces by
+    anchor; the transform of a part lives in memory, rewritten front to back a round.
     """
     texts = only(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
     per_window = (width - gram + 2) / 2
     buckets = max(1, int(total / per_window * 4 // chunk_bytes))
-    groups = max(1, int(total / per_window * (width + per_window) / 4 // (2 * chunk_bytes)))
+    groups = max(1, int(total / per_window * (width + per_window) // (2 * chunk_bytes)))
     key = keys(buckets)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -394,29 +398,30 @@ def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int =
         return pd.DataFrame(rows, columns=["part", "chunk", "blob"])
 
     def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        local, anchor, doc, size, text, source = [], [], [], [], [], []
+        local, anchor, doc, size, text, source, out, bits = [], [], [], [], [], [], [], []
         for c, blob in enumerate(pdf["blob"]):
             a, b, d, s, t = unpack(blob)
             local.append(a), anchor.append(b), doc.append(d), size.append(s.astype(np.int64)), text.append(t.tobytes()), source.append(np.full(len(a), c))
         local, anchor, doc, size, source = map(np.concatenate, (local, anchor, doc, size, source))
         raw, stop = b"".join(text), np.cumsum(size)
         start = stop - size
-        order = np.argsort(anchor, kind="stable")
-        edge = np.concatenate(([0], np.flatnonzero(np.diff(anchor[order])) + 1, [len(order)]))
-        out, bits = [], []
-        lo = 0
-        while lo < len(edge) - 1:  # whole anchors, bucket_pieces of their pieces or one anchor
-            hi = max(lo + 1, int(np.searchsorted(edge, edge[lo] + bucket_pieces, "right")) - 1)
-            rows = order[edge[lo] : edge[hi]]
-            lo = hi
-            number: dict[bytes, int] = {}
-            which = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(start[rows].tolist(), stop[rows].tolist(), strict=True)), np.int64, len(rows))
-            low = np.full(len(number), LAST)
-            np.minimum.at(low, which, doc[rows])
-            best = least_documents(list(number), low, width)
-            flags = best[which] < doc[rows][:, None]
-            some = flags.any(axis=1)
-            out.append(rows[some])
+        number: dict[bytes, int] = {}
+        which = np.fromiter((number.setdefault(raw[a:b], len(number)) for a, b in zip(start.tolist(), stop.tolist(), strict=True)), np.int64, len(start))
+        texts = list(number)
+        low, home = np.full(len(texts), LAST), np.empty(len(texts), np.uint64)
+        np.minimum.at(low, which, doc)
+        home[which] = anchor
+        order = np.argsort(home, kind="stable")
+        edge = np.concatenate(([0], np.flatnonzero(np.diff(home[order])) + 1, [len(order)]))
+        best, at = np.empty((len(texts), MOST), np.int64), 0
+        while at < len(edge) - 1:  # whole anchors, bucket_pieces of their pieces or one anchor
+            to = max(at + 1, int(np.searchsorted(edge, edge[at] + bucket_pieces, "right")) - 1)
+            own = order[edge[at] : edge[to]]
+            best[own], at = least_documents([texts[k] for k in own], low[own], width), to
+        for lo in range(0, len(which), 1 << 16):
+            flags = best[which[lo : lo + (1 << 16)]] < doc[lo : lo + (1 << 16), None]
+            some = np.flatnonzero(flags.any(axis=1))
+            out.append(some + lo)
             bits.append(np.packbits(flags[some], axis=1, bitorder="little").view(np.uint32).ravel())
         at, bits = np.concatenate(out), np.concatenate(bits)
         order = np.argsort(source[at], kind="stable")
