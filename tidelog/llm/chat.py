@@ -79,9 +79,9 @@ def link(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     base, _ = written(messages.select(*[F.col(f"`{c}`") for c in MESSAGE]).withColumn("turn", F.coalesce("turn", F.lit(-1)).cast("long")).distinct())
     keyed = base.where("call_id is not null")
     calls = keyed.where("kind = 'call'").groupBy("conv", "call_id").agg(F.min(F.struct("turn", "name", "arguments")).alias("c"))
-    results = keyed.where("kind = 'result'").groupBy("conv", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
-    both = calls.join(results.hint("shuffle_hash"), [calls.conv.eqNullSafe(results.conv), calls.call_id == results.call_id], "full").select(
-        F.coalesce(calls.conv, results.conv).alias("conv"), F.coalesce(calls.call_id, results.call_id).alias("call_id"), "c", "r"
+    results = keyed.where("kind = 'result'").groupBy(F.col("conv").alias("v"), F.col("call_id").alias("ref_id")).agg(F.min(F.struct("turn", "content")).alias("r"))
+    both = calls.join(results.hint("shuffle_hash"), F.col("conv").eqNullSafe(F.col("v")) & (F.col("call_id") == F.col("ref_id")), "full").select(
+        F.coalesce("conv", "v").alias("conv"), F.coalesce("call_id", "ref_id").alias("call_id"), "c", "r"
     )
     refs = F.array_distinct(F.regexp_extract_all(F.coalesce("c.arguments", F.lit("")), F.lit(r'"\$result:([^"]+)"'), 1))
     nodes, _ = written(both.withColumn("refs", refs).withColumn("slot", F.col("c.turn")).withColumn("level", F.lit(0)).withColumn("cycle", F.lit(False)))
@@ -91,8 +91,8 @@ def link(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
         after = nodes.where("c is not null and r is not null").select(
             F.col("conv").alias("v"), F.col("call_id").alias("ref_id"), F.greatest("slot", "r.turn").alias("rs"), F.expr("case when r.turn > slot then 0 else level + 1 end").alias("rl")
         )
-        waits = edges.join(after, edges.conv.eqNullSafe(after.v) & (edges.ref == after.ref_id)).groupBy("conv", "call_id").agg(F.max(F.struct("rs", F.expr("rl + 1"))).alias("w")).toDF("v", "ref_id", "w")
-        moved = nodes.join(waits, nodes.conv.eqNullSafe(waits.v) & (nodes.call_id == waits.ref_id)).where("w.rs > slot or (w.rs = slot and w.col2 > level)").select("conv", "call_id", F.col("w.rs").alias("s2"), F.col("w.col2").alias("l2"))
+        waits = edges.join(after, F.col("conv").eqNullSafe(F.col("v")) & (F.col("ref") == F.col("ref_id"))).groupBy("conv", "call_id").agg(F.max(F.struct("rs", F.expr("rl + 1"))).alias("w")).toDF("v", "ref_id", "w")
+        moved = nodes.join(waits, F.col("conv").eqNullSafe(F.col("v")) & (F.col("call_id") == F.col("ref_id"))).where("w.rs > slot or (w.rs = slot and w.col2 > level)").select("conv", "call_id", F.col("w.rs").alias("s2"), F.col("w.col2").alias("l2"))
         moved, moved_path = written(moved)
         count, rounds = moved.count(), rounds + 1
         late = rounds > total + 1  # no chain of distinct calls is longer
@@ -100,7 +100,7 @@ def link(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
             dropped(base.sparkSession, moved_path)
             break
         m = moved.toDF("v", "ref_id", "s2", "l2")
-        joined = nodes.join(m, nodes.conv.eqNullSafe(m.v) & (nodes.call_id == m.ref_id), "left")
+        joined = nodes.join(m, F.col("conv").eqNullSafe(F.col("v")) & (F.col("call_id") == F.col("ref_id")), "left")
         fixed = joined.select("conv", "call_id", "c", "r", "refs", F.coalesce("s2", "slot").alias("slot"), F.coalesce("l2", "level").alias("level"), (F.col("cycle") | (F.col("s2").isNotNull() & F.lit(late))).alias("cycle"))
         new, new_path = written(fixed)
         if path:
@@ -110,7 +110,7 @@ def link(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
         if late:
             break
     kept = nodes.select(F.col("conv").alias("v"), F.col("call_id").alias("ref_id"), "c", "r", "slot", "level", "cycle")
-    got = base.join(kept, base.conv.eqNullSafe(kept.v) & base.call_id.eqNullSafe(kept.ref_id), "left")
+    got = base.join(kept, F.col("conv").eqNullSafe(F.col("v")) & (F.col("call_id") == F.col("ref_id")), "left")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     own_call = is_call & F.struct("turn", "name", "arguments").eqNullSafe(F.col("c"))
     own_result = is_result & F.struct("turn", "content").eqNullSafe(F.col("r"))
@@ -162,7 +162,7 @@ def exchanges(conversations: DataFrame) -> DataFrame:
     """
     t = conversations.select(F.col("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text").withColumn("turn", F.coalesce("turn", F.lit(-1)))
     asked = t.where("role = 'user'").select(F.col("conv").alias("v"), (F.col("turn") + 1).alias("next")).distinct()
-    marked = t.join(asked, t.conv.eqNullSafe(asked.v) & (t.turn == asked.next), "left")
+    marked = t.join(asked, F.col("conv").eqNullSafe(F.col("v")) & (F.col("turn") == F.col("next")), "left")
     call_of = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
     kind = F.when(F.col("role") == "user", "call").when((F.col("role") == "assistant") & F.col("next").isNotNull(), "result").otherwise(F.coalesce("role", F.lit("unknown")))
     call_id = F.when(kind == "call", call_of(F.col("turn"))).when(kind == "result", call_of(F.col("turn") - 1))

@@ -173,10 +173,20 @@ def similarity(words: list[str], family: str) -> tuple[float, int]:
     return best[0], -best[1] - 1 if best[1] < 0 and best[0] > 0 else -1
 
 
+_PAIRS = {pair for text in (*(t for own in TEMPLATES.values() for t in own), *UNKNOWN) for pair in zip(words_of(text), words_of(text)[1:], strict=False)}
+
+
+def shared_pairs(paragraph: str) -> int:
+    """Distinct word pairs that a paragraph shares with any notice or sentence about terms."""
+    words = words_of(paragraph)
+    return len(_PAIRS & set(zip(words, words[1:], strict=False)))
+
+
 def scan(docs: DataFrame, confirm: float = 0.8, max_plain: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, paragraph, family, probability, similarity, template, confirmed) for each paragraph that holds a notice.
 
-    Paragraphs are lines, numbered from 0, of whole texts. A paragraph whose likeliest class is none is not listed; one
+    Paragraphs are lines, numbered from 0, of whole texts. A paragraph whose likeliest class is none, or that shares
+    fewer than two word pairs with any notice, is not listed; one
     whose family is below the floor, or that does not have `confirm` of a template's word pairs, is listed as of family
     unknown, unconfirmed. At most max_plain documents, chosen by hash, lend the first line of theirs to the class none.
     Null and empty texts have no paragraphs; repeated rows are scanned each; an empty table gives no rows.
@@ -204,6 +214,8 @@ def scan(docs: DataFrame, confirm: float = 0.8, max_plain: int = 512, id_col: st
             for k in np.flatnonzero(p.argmax(axis=1) != none):
                 f = int(p[k].argmax())
                 got, which = similarity(words_of(lines[k][2]), FAMILIES[f])
+                if (f == unknown or got < confirm) and shared_pairs(lines[k][2]) < 2:
+                    continue
                 sure = f != unknown and p[k, f] >= model.floor and got >= confirm
                 out.append((lines[k][0], lines[k][1], FAMILIES[f] if sure else "unknown", float(p[k, f]), got, f"{FAMILIES[f]}/{which}" if sure else None, sure))
             if out:

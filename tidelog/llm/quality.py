@@ -19,7 +19,7 @@ MAX_TRAIN = 4096
 #: Hashed features: classes of 4 bytes in a row, then pairs of word shapes.
 CHAR, PAIR = 1 << 16, 1 << 16
 WIDTH = CHAR + PAIR
-LABELLERS = ("symbols", "repeats", "lines", "capitals", "length", "stops", "short_words", "word_length")
+LABELLERS = ("symbols", "repeats", "lines", "capitals", "length", "stops", "short_words", "word_length", "variety")
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[128:] = 3
@@ -69,7 +69,7 @@ class Batch:
         self.upper, self.lower, self.odd = (np.diff(x[np.concatenate(([0], np.cumsum(sizes)))]) for x in (upper, lower, odd))
         uppers, lowers, odds = (x[stop] - x[start] for x in (upper, lower, odd))
         last = cls[stop - 1]
-        self.same, self.size, self.letters = same, size, uppers + lowers
+        self.same, self.size, self.letters, self.whole = same, size, uppers + lowers, whole
         self.stopped = (last == 6) | (last == 7)
         self.shape = (
             np.digitize(size, (4, 7, 11))
@@ -82,6 +82,14 @@ class Batch:
         )
         self.breaks, self.raw = np.flatnonzero(cls == 2), b
 
+    def _distinct_pairs(self, together: np.ndarray) -> np.ndarray:
+        """How many different pairs of neighbouring words each text has."""
+        owner = self.word_owner[1:][together].astype(np.uint64)
+        code = (self.whole[:-1] * np.uint64(3) + self.whole[1:] * np.uint64(_BASE))[together]
+        code = np.sort(code >> np.uint64(20) | owner << np.uint64(44))  # 44 bits of hash behind the text's number
+        new = np.concatenate(([True], code[1:] != code[:-1])) if len(code) else np.zeros(0, bool)
+        return np.bincount((code[new] >> np.uint64(44)).astype(np.int64), minlength=self.n)
+
     def votes(self) -> np.ndarray:
         """(texts, labellers): 1 good, 0 bad, 2 abstains."""
         words, per = np.maximum(self.words, 1), lambda mask: np.bincount(self.word_owner[mask], minlength=self.n)
@@ -99,22 +107,26 @@ class Batch:
         again = np.concatenate(([False], (h[1:] == h[:-1]) & (o[1:] == o[:-1]))) if len(h) else np.zeros(0, bool)
         repeated = np.bincount(o[again], minlength=self.n) / np.maximum(lines, 1)
         enough = self.words >= 20
+        together = self.word_owner[1:] == self.word_owner[:-1]
+        distinct = self._distinct_pairs(together)
+        fresh = distinct / np.maximum(self.words - 1, 1)
         return np.stack(
             [
                 _vote(odd, odd < 0.01, odd > 0.04),
                 _vote(same, enough & (same < 0.03), (self.words >= 3) & (same > 0.2)),
                 _vote(repeated, (lines >= 3) & (repeated < 0.1), (lines >= 3) & (repeated > 0.4)),
                 _vote(caps, caps < 0.15, (letters >= 8) & (caps > 0.4)),
-                _vote(words, self.words >= 30, self.words < 2),
+                _vote(words, self.words >= 30, self.words < 1),
                 _vote(stops, enough & (stops > 0.03) & (stops < 0.5), enough & (stops < 0.01)),
                 _vote(short, enough & (short > 0.15), enough & (short < 0.05)),
                 _vote(mean, (self.words > 0) & (mean >= 2.5) & (mean <= 9), (mean > 14) | ((self.words > 0) & (mean < 1.5))),
+                _vote(fresh, (self.words >= 6) & (fresh > 0.8), (self.words >= 6) & (fresh < 0.5)),
             ],
             axis=1,
         )
 
     def features(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(text, feature, weight) arrays of the hashed features: shares of a text's bytes and of its words."""
+        """(text, feature, weight) arrays of the hashed features: shares of a text's bytes and of its words, damped for short texts."""
         c = np.concatenate((self.cls, np.zeros(3, np.uint8))).astype(np.int32)
         size = len(self.cls)
         four = c[:size] << 12 | c[1 : size + 1] << 8 | c[2 : size + 2] << 4 | c[3 : size + 3]
@@ -123,35 +135,36 @@ class Batch:
             before[np.concatenate(([True], self.word_owner[1:] != self.word_owner[:-1]))] = 511
         pair = CHAR + (((before << 9 | self.shape) * 40503 >> 4) & (PAIR - 1))
         alone = CHAR + (((510 << 9 | self.shape) * 40503 >> 4) & (PAIR - 1))
-        return [(self.owner, four, 1 / (self.bytes + 4)), (self.word_owner, pair, 1 / np.maximum(self.words, 1)), (self.word_owner, alone, 1 / np.maximum(self.words, 1))]
+        return [(self.owner, four, 1 / (self.bytes + 32)), (self.word_owner, pair, 1 / (self.words + 8)), (self.word_owner, alone, 1 / (self.words + 8))]
 
 
 @dataclass
 class LabelModel:
-    """Shares of the classes (bad, good) and chances of each labeller's votes in each."""
+    """Shares of the classes (bad, good) and chances of each labeller's votes (bad, good) in each."""
 
     prior: np.ndarray
     chance: np.ndarray  # class, labeller, vote
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         """The chance that a text is good, for rows of votes."""
-        logs = np.log(self.prior)[None, :] + sum(np.log(self.chance[:, j, votes[:, j]]).T for j in range(votes.shape[1]))
+        table = np.concatenate((np.log(self.chance), np.zeros_like(self.chance[:, :, :1])), axis=2)  # who abstains says nothing
+        logs = np.log(self.prior)[None, :] + sum(table[:, j, votes[:, j]].T for j in range(votes.shape[1]))
         return sigmoid(logs[:, 1] - logs[:, 0])
 
 
 def fit_labels(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> LabelModel:
     """Expectation-maximisation over distinct vote patterns and how many texts have each.
 
-    It starts from labellers that are right in 7 of 8 votes, and smooths counts, so that it stays defined on any input.
+    A labeller looks for one kind of fault, so it starts out as one that sees a quarter of the bad texts and blames one
+    good text in 200. Counts are smoothed towards that, so the model stays defined on any input.
     """
     j = patterns.shape[1]
-    model = LabelModel(np.array([0.3, 0.7]), np.tile(np.array([[0.5, 0.1, 0.4], [0.07, 0.53, 0.4]])[:, None, :], (1, j, 1)))
+    start = np.tile(np.array([[0.25, 0.75], [0.005, 0.995]])[:, None, :], (1, j, 1))
+    model, weight = LabelModel(np.array([0.15, 0.85]), start), max(2.0, 0.002 * float(counts.sum()))
     for _ in range(steps if len(counts) else 0):
         good = model.posterior(patterns)
         mass = np.stack([(1 - good) * counts, good * counts])
-        chance = np.empty((2, j, 3))
-        for v in range(3):
-            chance[:, :, v] = mass @ (patterns == v) + np.array([0.5, 0.02 if v == 0 else 0.5])[:, None]
+        chance = np.stack([mass @ (patterns == v) for v in (0, 1)], axis=2) + weight * start
         chance /= chance.sum(axis=2, keepdims=True)
         prior = (mass.sum(axis=1) + 1) / (counts.sum() + 2)
         done = np.abs(chance - model.chance).max() < 1e-7

@@ -64,7 +64,7 @@ def held_out(id_column: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, l2: float = 2e-3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, l2: float = 1e-2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from at most max_train labelled rows (the first by a hash of their id) that are not held out.
 
     Tasks count the classes' documents for each hashed feature; a log-count ratio with add-one smoothing scales each,
@@ -90,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         q, p = sum(np.frombuffer(s, np.int32).reshape(2, -1).astype(np.int64) for s in pdf["sums"])
-        some = np.flatnonzero(p + q >= 3)
+        some = np.flatnonzero(p + q >= 5)
         return pd.DataFrame({"feature": some + int(pdf["part"].iloc[0]) * (WIDTH // ranges), "q": q[some], "p": p[some], "n0": int(pdf["n0"].sum()), "n1": int(pdf["n1"].sum())})
 
     totals = train.select("text", "y").mapInPandas(count, "part int, n0 long, n1 long, sums binary").groupBy("part").applyInPandas(add, "feature long, q long, p long, n0 long, n1 long")
