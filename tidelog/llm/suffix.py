@@ -230,7 +230,7 @@ class Collection:
 
     @staticmethod
     def build(symbols: np.ndarray, sizes: np.ndarray) -> Collection:
-        """Of strings in rows, right-aligned, of symbols from 1 to 255 and of fewer than 255 symbols.
+        """Of strings in rows, right-aligned, of 16-bit symbols from 1 on and of fewer than 255 symbols.
 
         Round j writes the j-th symbol from the end of every string before its suffix of length j - 1, and inserts the
         suffix of length j where the order of the transform puts it. Both files are read and written once a round, front
@@ -238,13 +238,13 @@ class Collection:
         suffixes that they prolong.
         """
         m, longest = symbols.shape
-        both = np.zeros(m, np.uint16)  # symbol in the lower, common prefix in the upper byte
+        both = np.zeros(m, np.uint32)  # symbol in the lower, common prefix in the upper half
         place, who = np.arange(m), np.arange(m)
         for j in range(1, longest + 1):
             live = sizes[who] >= j
             place, who = place[live], who[live]
             both[place] |= symbols[who, longest - j]
-            bwt, lcp = both.astype(np.uint8), (both >> 8).astype(np.uint8)
+            bwt, lcp = both.astype(np.uint16), (both >> np.uint32(16)).astype(np.uint8)
             order = np.argsort(bwt, kind="stable")
             order = order[len(bwt) - np.count_nonzero(bwt) :]
             fresh = np.zeros(len(bwt), bool)
@@ -254,7 +254,7 @@ class Collection:
             place = new + m
             old = np.ones(m + len(order), bool)
             old[place] = False
-            grown = np.zeros(m + len(order), np.uint16)
+            grown = np.zeros(m + len(order), np.uint32)
             grown[old] = both
             # new suffixes, and those behind them that are not new
             behind = new[:-1][np.diff(new) > 1] + 1 if len(new) else new
@@ -262,12 +262,12 @@ class Collection:
                 behind = np.append(behind, new[-1] + 1)
             k = np.concatenate((new[1:] if len(new) and new[0] == 0 else new, behind))
             a, b = order[k - 1], order[k]
-            common = np.zeros(len(k), np.uint16)
+            common = np.zeros(len(k), np.uint32)
             equal = np.flatnonzero(bwt[a] == bwt[b])
-            common[equal] = RangeLeast(lcp).of(a[equal] + 1, b[equal]).astype(np.uint16) + 1
-            grown[m + k] = grown[m + k] & np.uint16(0xFF) | common << 8
+            common[equal] = RangeLeast(lcp).of(a[equal] + 1, b[equal]).astype(np.uint32) + 1
+            grown[m + k] = grown[m + k] & np.uint32(0xFFFF) | common << np.uint32(16)
             both = grown
-        return Collection(both.astype(np.uint8), (both >> 8).astype(np.uint8), m)
+        return Collection(both.astype(np.uint16), (both >> np.uint32(16)).astype(np.uint8), m)
 
     def rows(self, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, strings, rows of their suffixes of that length), from length 1 on: a walk by the last-first map."""
@@ -283,23 +283,30 @@ class Collection:
 
 
 def least_documents(texts: list[bytes], docs: np.ndarray, width: int) -> np.ndarray:
-    """(text, window): the least document that has a window's bytes, for distinct texts and the least document of each."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    """(text, window): the least document that has a window's bytes, for distinct texts and the least document of each.
+
+    A symbol is two bytes if the width is even, which halves the rounds: a text is then two strings, from its first and
+    from its second byte on, and each of its windows is a suffix's head in one of them.
+    """
+    unit = 2 - width % 2
+    strings = [t[f : f + (len(t) - f) // unit * unit] for f in range(unit) for t in texts]
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings)) // unit
     longest = int(sizes.max())
-    symbols = np.frombuffer(b"".join(t.rjust(longest, b"\0") for t in texts), np.uint8).reshape(len(texts), longest) + np.uint8(1)
+    flat = np.frombuffer(b"".join(t.rjust(longest * unit, b"\0") for t in strings), np.uint8 if unit == 1 else np.dtype("<u2"))
+    symbols = flat.reshape(len(strings), longest).astype(np.uint16) + np.uint16(1)
     found = Collection.build(symbols, sizes)
-    group = np.cumsum(found.lcp < width) - 1
+    group = np.cumsum(found.lcp < width // unit) - 1
     best = np.full(int(group[-1]) + 1, LAST)
-    windows = [(length, who, group[at]) for length, who, at in found.rows(sizes) if length >= width]
+    windows = [(length, who, group[at]) for length, who, at in found.rows(sizes) if length * unit >= width]
     for _, who, g in windows:
-        np.minimum.at(best, g, docs[who])
+        np.minimum.at(best, g, docs[who % len(texts)])
     out = np.full((len(texts), MOST), LAST)
     for length, who, g in windows:
-        out[who, sizes[who] - length] = best[g]
+        out[who % len(texts), who // len(texts) + (sizes[who] - length) * unit] = best[g]
     return out
 
 
-def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int = 8 << 20, bucket_pieces: int = 6144, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int = 8 << 20, bucket_pieces: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, kept, spans): a document's bytes without those that repeat an earlier document, and where they were.
 
     A byte goes if some string of `width` bytes over it also starts in a document with a smaller id; strings are judged
