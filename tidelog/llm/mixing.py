@@ -48,17 +48,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     named = docs.select(
         *[F.col(f"`{c}`") for c in docs.columns if c not in ("size", "source_size", "target", "taken") and not c.startswith("_mix_")],
         F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.col(f"`{source_col}`").alias("_mix_source"),
+        F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`")), F.lit("n")).alias("_mix_source"),
         key.alias("_mix_key"),
         F.substring(key, 1, 3).alias("_mix_range"),
         F.crc32(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")).alias("_mix_crc"),
     )
     ranges = named.groupBy("_mix_source", "_mix_range").agg(F.sum("size").alias("n"))
-    sizes = ranges.groupBy(F.col("_mix_source").alias("source")).agg(F.sum("n").alias("source_size"))
+    # a tag in place of the source keeps null sources apart and lets the join reuse the window's partitioning
+    tagged = ranges.groupBy("_mix_source").agg(F.sum("n").alias("source_size"))
+    sizes = tagged.select(F.when(F.col("_mix_source") != "n", F.expr("substring(_mix_source, 2)")).alias("source"), "source_size")
+    goals = targets(sizes, weights, share, most).select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("tag"), "source_size", "target")
     starts = ranges.selectExpr("_mix_source as s", "_mix_range as r", "sum(n) over (partition by _mix_source order by _mix_range rows between unbounded preceding and current row) - n as start")
-    plan = starts.join(targets(sizes, weights, share, most), F.col("s").eqNullSafe(F.col("source"))).select("s", "r", "start", "source_size", "target")
+    plan = starts.join(goals, F.col("s") == F.col("tag")).select("s", "r", "start", "source_size", "target")
     run = named.selectExpr("*", f"sum(size) over (partition by _mix_source, _mix_range order by _mix_key, `{id_col}`, size, _mix_crc rows between unbounded preceding and current row) - size as _mix_before")
-    both = run.join(plan, F.col("_mix_source").eqNullSafe(F.col("s")) & (F.col("_mix_range") == F.col("r")))
+    both = run.join(plan, (F.col("_mix_source") == F.col("s")) & (F.col("_mix_range") == F.col("r")))
     budget, before = F.floor(F.col("target") + F.lit(1e-6)).cast("long"), F.col("start") + F.col("_mix_before")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 1e-6D) as bigint) div source_size")).otherwise(F.lit(0))
     left = budget - epochs * F.col("source_size")
