@@ -71,7 +71,8 @@ def link(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     a call orphan_result, and a null identifier no_id. A call's arguments may name other calls' results as
     "$result:<id>". (slot, level, turn, kind) is a topological order within a conversation: a result comes after its
     call and a call after the results that it names, and otherwise turns keep their order: slot is the largest turn
-    that a message has to wait for, its own included. Calls that wait for themselves have status cycle. Arguments are
+    that a message has to wait for, its own included. Calls that wait for themselves, or for such
+    calls, have status cycle. Arguments are
     checked against the tool's JSON schema: ok, unknown_tool, bad_json, or what they break. json is canonical; calls
     that are not valid keep their arguments as they came. Null turns count as -1, and null texts as empty; repeated rows
     count once; an empty table gives no rows. A conversation is never gathered: all joins are on (conv, call_id).
@@ -84,9 +85,9 @@ def link(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
         F.coalesce("conv", "v").alias("conv"), F.coalesce("call_id", "ref_id").alias("call_id"), "c", "r"
     )
     refs = F.array_distinct(F.regexp_extract_all(F.coalesce("c.arguments", F.lit("")), F.lit(r'"\$result:([^"]+)"'), 1))
-    nodes, _ = written(both.withColumn("refs", refs).withColumn("slot", F.col("c.turn")).withColumn("level", F.lit(0)).withColumn("cycle", F.lit(False)))
+    nodes, _ = written(both.withColumn("refs", refs).withColumn("slot", F.col("c.turn")).withColumn("level", F.lit(0)).withColumn("moved", F.lit(False)).withColumn("cycle", F.lit(False)))
     edges, _ = written(nodes.where("c is not null and size(refs) > 0").select("conv", "call_id", F.explode("refs").alias("ref")))
-    path, rounds, total = None, 0, edges.select("conv", "call_id").distinct().count()
+    path, rounds, movers = None, 0, 0
     while True:
         after = nodes.where("c is not null and r is not null").select(
             F.col("conv").alias("v"), F.col("call_id").alias("ref_id"), F.greatest("slot", "r.turn").alias("rs"), F.expr("case when r.turn > slot then 0 else level + 1 end").alias("rl")
@@ -95,19 +96,19 @@ def link(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
         moved = nodes.join(waits, F.col("conv").eqNullSafe(F.col("v")) & (F.col("call_id") == F.col("ref_id"))).where("w.rs > slot or (w.rs = slot and w.col2 > level)").select("conv", "call_id", F.col("w.rs").alias("s2"), F.col("w.col2").alias("l2"))
         moved, moved_path = written(moved)
         count, rounds = moved.count(), rounds + 1
-        late = rounds > total + 1  # no chain of distinct calls is longer
+        late = rounds > movers + 1  # no chain of distinct calls that move is longer
         if not count:
             dropped(base.sparkSession, moved_path)
             break
         m = moved.toDF("v", "ref_id", "s2", "l2")
         joined = nodes.join(m, F.col("conv").eqNullSafe(F.col("v")) & (F.col("call_id") == F.col("ref_id")), "left")
-        fixed = joined.select("conv", "call_id", "c", "r", "refs", F.coalesce("s2", "slot").alias("slot"), F.coalesce("l2", "level").alias("level"), (F.col("cycle") | (F.col("s2").isNotNull() & F.lit(late))).alias("cycle"))
+        fixed = joined.select("conv", "call_id", "c", "r", "refs", F.coalesce("s2", "slot").alias("slot"), F.coalesce("l2", "level").alias("level"), (F.col("moved") | F.col("s2").isNotNull()).alias("moved"), (F.col("cycle") | (F.col("s2").isNotNull() & F.lit(late))).alias("cycle"))
         new, new_path = written(fixed)
         if path:
             dropped(base.sparkSession, path)
         dropped(base.sparkSession, moved_path)
-        nodes, path = new, new_path
-        if late:
+        nodes, path, movers = new, new_path, new.where("moved").count()
+        if rounds > 2 * movers + 2:  # all calls of a cycle have moved since
             break
     kept = nodes.select(F.col("conv").alias("v"), F.col("call_id").alias("ref_id"), "c", "r", "slot", "level", "cycle")
     got = base.join(kept, F.col("conv").eqNullSafe(F.col("v")) & (F.col("call_id") == F.col("ref_id")), "left")

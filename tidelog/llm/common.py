@@ -51,14 +51,11 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-def partitions(df: DataFrame, bytes_each: int = 8 << 20, least: int = 8) -> int:
-    """A partition count that grows with the input: as many as its plan's size asks for, and the session's at least."""
-    spark = df.sparkSession
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except ValueError:
-        size = 0
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), min(100_000, size // bytes_each if size < 1 << 60 else 0))
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def batches_by_bytes(batches: Iterator[pd.DataFrame], column: str, most: int = 2 << 20) -> Iterator[pd.DataFrame]:

@@ -42,7 +42,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     share is dealt over many tasks. A source takes whole epochs while its target lasts, then documents in hash order up
     to the exact word. Null texts and texts without words have size 0 and take 0; null sources are one source, last;
     null ids share a key; ties fall by (id, size, checksum), and repeated rows count each; an empty table gives no rows.
-    Columns of the result's names are replaced.
+    Columns of the result's names are replaced, and those that start with _mix_ not carried.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).cast("binary"))
     named = docs.select(
@@ -58,14 +58,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     tagged = ranges.groupBy("_mix_source").agg(F.sum("n").alias("source_size"))
     sizes = tagged.select(F.when(F.col("_mix_source") != "n", F.expr("substring(_mix_source, 2)")).alias("source"), "source_size")
     goals = targets(sizes, weights, share, most).select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("tag"), "source_size", "target")
-    starts = ranges.selectExpr("_mix_source as s", "_mix_range as r", "sum(n) over (partition by _mix_source order by _mix_range rows between unbounded preceding and current row) - n as start")
-    plan = starts.join(goals, F.col("s") == F.col("tag")).select("s", "r", "start", "source_size", "target")
+    starts = ranges.selectExpr("_mix_source as _mix_s", "_mix_range as _mix_r", "sum(n) over (partition by _mix_source order by _mix_range rows between unbounded preceding and current row) - n as _mix_start")
+    plan = starts.join(goals, F.col("_mix_s") == F.col("tag")).select("_mix_s", "_mix_r", "_mix_start", "source_size", "target")
     run = named.selectExpr("*", f"sum(size) over (partition by _mix_source, _mix_range order by _mix_key, `{id_col}`, size, _mix_crc rows between unbounded preceding and current row) - size as _mix_before")
-    both = run.join(plan, (F.col("_mix_source") == F.col("s")) & (F.col("_mix_range") == F.col("r")))
-    budget, before = F.floor(F.col("target") + F.lit(1e-6)).cast("long"), F.col("start") + F.col("_mix_before")
+    both = run.join(plan, (F.col("_mix_source") == F.col("_mix_s")) & (F.col("_mix_range") == F.col("_mix_r")))
+    budget, before = F.floor(F.col("target") + F.lit(1e-6)).cast("long"), F.col("_mix_start") + F.col("_mix_before")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 1e-6D) as bigint) div source_size")).otherwise(F.lit(0))
     left = budget - epochs * F.col("source_size")
-    return both.withColumn("taken", (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - before))).cast("long")).drop("s", "r", "start", "_mix_source", "_mix_range", "_mix_key", "_mix_before", "_mix_crc")
+    return both.withColumn("taken", (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left - before))).cast("long")).drop("_mix_s", "_mix_r", "_mix_start", "_mix_source", "_mix_range", "_mix_key", "_mix_before", "_mix_crc")
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
@@ -77,10 +77,10 @@ def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     got = mix(docs, **how)
     whole = F.expr("case when size > 0 then taken div size else 0 end")
     rest = F.expr("case when size > 0 then taken % size else 0 end")
-    parts = got.withColumn("_part", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
-    cut = F.expr(f"array_join(slice(regexp_extract_all(text, r'{WORD}', 0), 1, cast(greatest(_part, 0L) as int)), ' ')")
-    text = F.when(F.col("_part") < 0, F.col("text")).otherwise(cut)
+    parts = got.withColumn("_mix_part", F.explode(F.concat(F.array_repeat(F.lit(-1).cast("long"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
+    cut = F.expr(f"array_join(slice(regexp_extract_all(text, r'{WORD}', 0), 1, cast(greatest(_mix_part, 0L) as int)), ' ')")
+    text = F.when(F.col("_mix_part") < 0, F.col("text")).otherwise(cut)
     out = parts.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_part") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col("_mix_part") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

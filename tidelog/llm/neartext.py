@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Forest, batches_by_bytes, connected_components, only, utf8, written
+from tidelog.llm.common import Forest, batches_by_bytes, connected_components, only, unused, utf8, written
 
 #: Differing bits of a candidate in the first 64 and in all 128 bits. Pairs of similarity 0.8 differ in 9.7 and 19.4 on
 #: average with deviations of 2.9 and 4.1; these bounds are over 3.5 and over 4 deviations away.
@@ -188,5 +188,6 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is its component's least, each id once; of a component of null ids, one row."""
     found = groups(docs, words, similarity, id_col=id_col, text_col=text_col)
-    leaders = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("_leader")).distinct()
-    return docs.join(leaders, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_leader")), "left_semi").dropDuplicates([id_col])
+    leader = unused(docs, "_leader")
+    leaders = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(leader)).distinct()
+    return docs.join(leaders, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(leader)), "left_semi").dropDuplicates([id_col])

@@ -74,7 +74,7 @@ def shard(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, id
     shard's rows from 0 without gaps, in the order of (md5 bucket of the id, id, size, checksum): rows are counted by
     (shard, bucket of 4096), the counts' prefix sums place each bucket, and a window numbers the rows inside one, so no
     task holds a shard. Null ids share one key, are dealt like any other key, and come first in their bucket; repeated
-    rows get slots of their own; texts have no effect on the shard; an empty table gives no rows.
+    rows get slots of their own; texts have no effect on the shard; an empty table gives no rows. Columns that start with _shard_ are not carried.
     """
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -85,8 +85,9 @@ def shard(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, id
         "shard": place(key, tree).cast("int"),
         "grown_shard": (place(key, grown) if grown else F.lit(None)).cast("int"),
     }
-    put = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*made, "slot", "_bucket")], *[x.alias(n) for n, x in made.items()], F.substring(F.md5(key.cast("binary")), 1, 3).alias("_bucket"))
-    counts = put.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    starts = counts.selectExpr("shard as _s", "_bucket as _b", "sum(_n) over (partition by shard order by _bucket rows between unbounded preceding and current row) - _n as _start")
-    ranked = put.selectExpr("*", f"row_number() over (partition by shard, _bucket order by `{id_col}`, size, text_crc32) as _r")
-    return ranked.join(starts, (F.col("shard") == F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("slot", F.col("_start") + F.col("_r") - F.lit(1)).drop("_s", "_b", "_bucket", "_start", "_r")
+    put = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*made, "slot") and not c.startswith("_shard_")], *[x.alias(n) for n, x in made.items()], F.substring(F.md5(key.cast("binary")), 1, 3).alias("_shard_bucket"))
+    counts = put.groupBy("shard", "_shard_bucket").agg(F.count("*").alias("n"))
+    starts = counts.selectExpr("shard as _shard_s", "_shard_bucket as _shard_b", "sum(n) over (partition by shard order by _shard_bucket rows between unbounded preceding and current row) - n as _shard_start")
+    ranked = put.selectExpr("*", f"row_number() over (partition by shard, _shard_bucket order by `{id_col}`, size, text_crc32) as _shard_r")
+    joined = ranked.join(starts, (F.col("shard") == F.col("_shard_s")) & (F.col("_shard_bucket") == F.col("_shard_b"))).withColumn("slot", (F.col("_shard_start") + F.col("_shard_r") - F.lit(1)).cast("long"))
+    return joined.drop("_shard_s", "_shard_b", "_shard_bucket", "_shard_start", "_shard_r")

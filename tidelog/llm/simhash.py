@@ -222,15 +222,3 @@ def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 4, id_col: str
     whole = named.groupBy("top").agg(F.min("least").alias("component"))
     names, _ = written(named.where("top != fp").join(whole, "top").select("fp", "component").union(named.where("top = fp").join(whole, "top").select("fp", "component")))
     return marked.join(names, "fp").select("id", "fp", "component")
-
-
-def deduplicated(docs: DataFrame, words: int = 5, reach: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near copies: of each component the rows whose id is its least; repeated rows of it once.
-
-    Rows with null ids stay only where a component has no other.
-    """
-    key = f"`{id_col}`"
-    found = near_duplicates(docs, words, reach, id_col, text_col)
-    leaders = found.where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
-    kept = docs.join(leaders, F.col(key).eqNullSafe(F.col("id")), "left_semi")
-    return kept.dropDuplicates([id_col])
