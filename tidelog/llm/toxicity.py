@@ -16,8 +16,10 @@ from tidelog.llm.linear import fit_logistic, sigmoid
 #: n-gram lengths in bytes; each has a table of 2^BITS hashed features.
 LENGTHS, BITS = (3, 4, 5), 18
 WIDTH = len(LENGTHS) << BITS
-#: Labelled rows that a model is fitted on, at most; features it keeps, at most.
-MAX_TRAIN, MAX_FEATURES = 8192, 20_000
+#: Labelled rows that a model is fitted on, at most; features it keeps, at most. A feature is kept if its log-count
+#: ratio is SURE standard errors from 0; if fewer than FEW are, the FEW furthest.
+SURE, FEW = 3.0, 2048
+MAX_TRAIN, MAX_FEATURES = 8192, 16384
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -64,11 +66,11 @@ def held_out(id_column: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, l2: float = 1e-2, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, l2: float = 3e-3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from at most max_train labelled rows (the first by a hash of their id) that are not held out.
 
     Tasks count the classes' documents for each hashed feature; a log-count ratio with add-one smoothing scales each,
-    and the max_features whose ratios stand out most from chance are kept. Without rows of both classes the model is a
+    and those that stand out from chance are kept, max_features at most. Without rows of both classes the model is a
     constant, the smoothed share of label 1. A row with several labels counts with each; null labels are left out.
     """
     spark = docs.sparkSession
@@ -95,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
 
     totals = train.select("text", "y").mapInPandas(count, "part int, n0 long, n1 long, sums binary").groupBy("part").applyInPandas(add, "feature long, q long, p long, n0 long, n1 long")
     ratio = F.log((F.col("p") + 1) / (F.col("n1") + 2)) - F.log((F.col("q") + 1) / (F.col("n0") + 2))
-    best = totals.withColumn("r", ratio).withColumn("z", F.abs("r") / F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1))).orderBy(F.desc("z"), "feature").limit(max_features).select("feature", "r", "n0", "n1").toPandas()
+    best = totals.withColumn("r", ratio).withColumn("z", F.abs("r") / F.sqrt(1 / (F.col("p") + 1) + 1 / (F.col("q") + 1))).orderBy(F.desc("z"), "feature").limit(max_features).select("feature", "r", "z", "n0", "n1").toPandas()
+    best = best[: max(FEW, int((best["z"] >= SURE).sum()))]
     n0, n1 = (int(best[c].iloc[0]) if len(best) else 0 for c in ("n0", "n1"))
     if not n0 or not n1:
         n0, n1 = (train.where(f"y = {c}").count() for c in (0, 1))
