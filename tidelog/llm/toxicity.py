@@ -14,13 +14,13 @@ from tidelog.llm.common import batches_by_bytes, only, utf8
 from tidelog.llm.linear import fit_logistic, sigmoid
 
 #: n-gram lengths in bytes; each has a table of 2^BITS hashed features.
-LENGTHS, BITS = (3, 4, 5), 18
+LENGTHS, BITS = (3, 4, 5, 6), 18
 WIDTH = len(LENGTHS) << BITS
 #: Labelled rows that a model is fitted on, at most; features it keeps, at most. A feature is kept if its log-count
 #: ratio is SURE standard errors from 0; if fewer than FEW are, the FEW furthest.
-SURE, FEW = 3.0, 2048
+SURE, FEW = 4.0, 512
 MAX_TRAIN, MAX_FEATURES = 8192, 16384
-_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 
 
 def grams(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -28,7 +28,7 @@ def grams(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
 
     Texts are lower-cased (A-Z) and stand between blanks; zero bytes part them, so no n-gram holds two texts.
     """
-    padded = [b" " + t.lower() + b" \0\0\0\0" for t in texts]
+    padded = [b" " + t.lower() + b" " + bytes(max(LENGTHS)) for t in texts]
     b = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(texts)), [len(p) for p in padded])
     b = np.concatenate((b, np.zeros(max(LENGTHS), np.uint64)))
