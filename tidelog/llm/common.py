@@ -105,16 +105,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Alternating large-star and small-star rounds. Each round's edges are written to the shared folder, so that
     lineage stays short and a lost executor costs that round only. Stars replace cliques: the edge count never grows
-    beyond the input's, and the joins are plain equi-joins that adaptive execution splits where a hub is hot.
+    beyond the input's. Least neighbours are aggregated map-side and written too, so that the join of a node's edges with
+    its least neighbour is one of two shuffles alone, which adaptive execution splits where a hub is hot.
     """
-    spark = edges.sparkSession
+    spark, paths = edges.sparkSession, []
 
     def star(e: DataFrame, small: bool) -> DataFrame:
         """Each node's larger (large-star) or smaller neighbours and itself (small-star) hang on its least neighbour."""
         way = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         if not small:
             way = way.union(way.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = way.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least, path = written(way.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        paths.append(path)
         hung = way.join(least, "u")
         if small:
             out = hung.where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.where("u != m").select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -128,8 +130,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         nxt, new_path = written(star(star(now, False), True))
         seen = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        dropped(spark, path)
+        for old in (path, *paths):
+            dropped(spark, old)
         now, path = nxt, new_path
+        paths.clear()
         if mark == (seen["n"], seen["h"]):
             break
         mark = (seen["n"], seen["h"])

@@ -77,7 +77,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = 512,
     ids = vectors.schema[id_col].dataType.simpleString()
     all_rows, _ = written(only(vectors, id_col, vec_col).toDF("id", "v").mapInPandas(pack, f"id {ids}, v binary"))
     classes, _ = written(all_rows.where("v is not null and id is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")))
-    use = plan or Plan.for_rows(classes.count(), threshold)
+    count = classes.count()
+    use = plan or Plan.for_rows(count, threshold)
+    shared = max(64, count * use.tables // 8192)  # tasks that the small buckets are dealt over
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -97,7 +99,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = 512,
         .withColumn("part", F.pmod(F.hash("id"), F.col("parts")))
         .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
         .select("id", "t", "h", "len", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        .withColumn("cell", F.when(F.col("j") == 0, F.concat(F.lit("p"), F.pmod(F.hash("t", "h", "len"), F.lit(1009)))).otherwise(F.concat_ws(":", "t", "h", "len", "i", "j")))
+        .withColumn("cell", F.when(F.col("j") == 0, F.concat(F.lit("p"), F.pmod(F.hash("t", "h", "len"), F.lit(shared)))).otherwise(F.concat_ws(":", "t", "h", "len", "i", "j")))
     )
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
