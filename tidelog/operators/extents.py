@@ -141,6 +141,16 @@ def read_tasks(found: DataFrame) -> DataFrame:
     return runs.groupBy(*part, "island").agg(F.first("hole").alias("hole"), F.min("logical_offset").alias("logical_offset"), F.sum("length").alias("length"), F.min("pid").alias("pid"), F.min("chunk_offset").alias("chunk_offset"), F.count("*").alias("records")).drop("island")
 
 
+def data_paths(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Range-query records with the data file (file_id, pid, data_path) that holds their bytes; holes have none."""
+    return found.join(chunks, ["file_id", "pid"], "left").select(*found.columns, "data_path")
+
+
+def rewritten(log: DataFrame, size: int) -> DataFrame:
+    """A log's records after its file is cut to `size`, in the order of their begin, for a rewrite of the log."""
+    return truncate(log, size).orderBy("begin_us", "pid", "seq")
+
+
 def stab_lookup(extents: DataFrame, probes: DataFrame, tile: int = TILE, eof: DataFrame | None = None) -> DataFrame:
     """What holds the byte at each probe (probe_id, file_id, offset): data, hole or eof, and how far it goes on.
 

@@ -88,6 +88,11 @@ def container_sizes(files: DataFrame, record_bytes: int = 48) -> DataFrame:
     )
 
 
+def hostdirs(names: DataFrame) -> DataFrame:
+    """How many directories hold logs, and which, from parsed log names (file_id, hostdir)."""
+    return names.groupBy("file_id").agg(F.countDistinct("hostdir").alias("hostdirs"), F.sort_array(F.collect_set("hostdir")).alias("ids"))
+
+
 def users(handles: DataFrame) -> DataFrame:
     """Readers, writers and bytes of each file from its handles (file_id, mode, bytes)."""
     return handles.groupBy("file_id").agg(F.count(F.expr("case when mode = 'r' then 1 end")).alias("readers"), F.count(F.expr("case when mode = 'w' then 1 end")).alias("writers"), F.sum("bytes").alias("bytes"))

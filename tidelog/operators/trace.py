@@ -35,6 +35,13 @@ def writer_end(trace: DataFrame) -> DataFrame:
     return trace.groupBy("pid").agg(F.max("end_us").alias("end_us"))
 
 
+def writer_spans(trace: DataFrame) -> DataFrame:
+    """Each writer's first begin and last end in seconds after the trace's first begin."""
+    start = trace.agg(F.min("begin_us").alias("z"))
+    own = trace.groupBy("pid").agg(F.min("begin_us").alias("b"), F.max("end_us").alias("e"))
+    return own.crossJoin(F.broadcast(start)).selectExpr("pid", "(b - z) / 1e6D as begin_s", "(e - z) / 1e6D as end_s")  # one row
+
+
 def writer_stats(trace: DataFrame) -> DataFrame:
     """Mean and population deviation of the writers' last ends, in seconds after the first begin."""
     start = trace.agg(F.min("begin_us").alias("z"))

@@ -80,6 +80,8 @@ select probe_id, file_id, bool_and(hole) hole, min(logical_offset) logical_offse
     "stab_lookup": f"""{EXT}, {FULL}, {PROBES} select probe_id, p.file_id, "offset", case when c.file_id is null then 'eof' when hole then 'hole' else 'data' end state, pid, physical_offset + "offset" - logical_offset chunk_offset, logical_offset + c.length - "offset" run
 from pr p left join cm c on p.file_id = c.file_id and c.logical_offset <= "offset" and "offset" < c.logical_offset + c.length""",
     "truncate_extents": f"{EXT} select file_id, logical_offset, least(length, 500000 - logical_offset) length, pid, seq, physical_offset, begin_us, end_us from ext where logical_offset < 500000",
+    "data_paths": f"{EXT}, {RANGE} select probe_id, logical_offset, length, hole, chunk_offset, case when hole then null else concat('/store/', file_id, '/dropping.data.', pid) end data_path from rq",
+    "rewritten_log": f"with {WRITE_LOG} select file_id, pid, seq, logical_offset, physical_offset, least(length, 500000 - logical_offset) length, begin_us, end_us from wl where logical_offset < 500000",
     "truncate_grow": f"with {WRITE_LOG} select file_id, 2000000::bigint eof, max(logical_offset + length) < 2000000 grown from wl group by file_id",
     "stat_closed": f"with {META}, {HANDLES} {STAT} from mt where not exists (select 1 from oh where oh.file_id = mt.file_id and oh.host = mt.host) group by file_id",
     "stat_size": f"""with {META}, {HANDLES}, {HOST_LOGS}, c as ({STAT} from mt where not exists (select 1 from oh where oh.file_id = mt.file_id and oh.host = mt.host) group by file_id),
@@ -96,6 +98,7 @@ select file_id, max(size)::bigint size, sum(blocks)::bigint blocks, max(mtime_s)
     "container_sizes": "with f as (select concat('c', cast(o_custkey % 300 as varchar)) file_id, o_orderkey % 3 = 0 i, cast(floor(o_totalprice) as bigint) size from orders) select file_id, sum(case when i then 0 else size end)::bigint data_bytes, sum(case when i then size else 0 end)::bigint index_bytes, sum(case when i then size // 48 else 0 end)::bigint records from f group by file_id",
     "handle_users": "select concat('c', cast(o_custkey % 300 as varchar)) file_id, count(*) filter (o_orderkey % 4 <> 0) readers, count(*) filter (o_orderkey % 4 = 0) writers, sum(o_orderkey * 10)::bigint bytes from orders group by 1",
     "xattrs": "with k as (select concat('c', cast(c_custkey % 300 as varchar)) file_id, concat('user.k', c_custkey % 3) k, max(c_name) v from customer group by 1, 2) select file_id, count(*) attrs, max(case when k = 'user.k1' then v end) k1 from k group by file_id",
+    "hostdirs": "with h as (select concat('c', cast(o_custkey % 30 as varchar)) file_id, o_orderkey % 32 hostdir from orders) select file_id, count(distinct hostdir) hostdirs, list_sort(list(distinct hostdir)) ids from h where hostdir % 3 = length(file_id) % 3 group by file_id",
     "metalinks": "select concat('l', c_custkey) name, concat('/store/v', c_custkey % 5, '/hostdir.', c_custkey % 32) target from customer where c_custkey % 5 < 4",
     "mounts": "select path, case when m = 0 and d = 1 then '/mnt/m0/d1' when m = 0 then '/mnt/m0' when m = 1 then '/mnt/m1' else '/mnt/m2/d2' end mount, case when m = 0 and d = 1 then 'b01' when m = 0 then 'b0' when m = 1 then 'b1' else 'b22' end backend from (select concat('/mnt/m', c_custkey % 4, '/d', c_custkey % 3, '/f', c_custkey) path, c_custkey % 4 m, c_custkey % 3 d from customer) where m < 2 or (m = 2 and d = 2)",
     "list_names": f"with {NAME_LOG} select distinct dir_id, name from nl",
@@ -111,6 +114,7 @@ select fid, min(lo) off, max(hi) - min(lo) length, did, seq, min(physical_offset
     "trace_bounds": f"with {TRACE}, w as (select pid, min(begin_us) b, max(end_us) e from tr group by pid) select min(b) min_begin_us, max(e) max_end_us, sum(e)::bigint sum_end_us, count(*) writers from w",
     "trace_rejects": f"with {TRACE} select count(*) filter (not begin_us < end_us) rejected, count(*) records from tr",
     "writer_end": f"{ENDS} select * from we",
+    "writer_spans": f"{ENDS}, m as (select pid, min(begin_us) b, max(end_us) e from tr group by pid) select pid, (b - (select min(begin_us) from tr)) / 1e6::double begin_s, (e - (select min(begin_us) from tr)) / 1e6::double end_s from m",
     "writer_stats": f"{ENDS}, x as (select (end_us - (select min(begin_us) from tr)) / 1e6::double x from we) select count(*) writers, round(avg(x), 6) mean_end_s, round(stddev_pop(x), 6) stddev_end_s from x",
     "stragglers": _stragglers("select count(*) filter (side = 'above') above, count(*) filter (side = 'below') below from sd"),
     "straggler_rows": _stragglers("select tr.pid, tr.seq, side from tr join sd on tr.pid = sd.pid where side is not null"),

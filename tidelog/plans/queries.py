@@ -118,6 +118,17 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stat.container_sizes(files)
 
 
+def hostdirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fx.table(spark, sf_dir, "orders").selectExpr("concat('c', cast(o_custkey % 30 as string)) as file_id", "o_orderkey % 32 as hostdir").where("hostdir % 3 = length(file_id) % 3")
+    return stat.hostdirs(made)
+
+
+def data_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extents.range_query(resolved(spark, sf_dir), probes(spark, sf_dir), eof=eofs(spark, sf_dir))
+    chunks = fx.table(spark, sf_dir, "events").selectExpr("event_type as file_id", "user_id as pid", "concat('/store/', event_type, '/dropping.data.', user_id) as data_path").distinct()
+    return extents.data_paths(found, chunks).select("probe_id", "logical_offset", "length", "hole", "chunk_offset", "data_path")
+
+
 def handle_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     handles = fx.table(spark, sf_dir, "orders").selectExpr("concat('c', cast(o_custkey % 300 as string)) as file_id", "case when o_orderkey % 4 = 0 then 'w' else 'r' end as mode", "o_orderkey * 10 as bytes")
     return stat.users(handles)
@@ -167,6 +178,8 @@ QUERIES: dict[str, Query] = {
     "read_tasks": lambda s, d: extents.read_tasks(extents.range_query(resolved(s, d), probes(s, d), eof=eofs(s, d))),
     "stab_lookup": lambda s, d: extents.stab_lookup(resolved(s, d), probes(s, d), eof=eofs(s, d)),
     "truncate_extents": _map(lambda x: extents.truncate(x, TRUNCATE_AT)),
+    "data_paths": data_paths,
+    "rewritten_log": _log(lambda x: extents.rewritten(x, TRUNCATE_AT)),
     "truncate_grow": _raw(lambda x: extents.resized_eof(extents.file_stats(x), GROW_TO)),
     "stat_closed": lambda s, d: stat.stat_closed(fx.meta(s, d), fx.open_handles(s, d)),
     "stat_size": lambda s, d: stat.stat(fx.meta(s, d), fx.open_handles(s, d), host_logs(s, d)),
@@ -180,6 +193,7 @@ QUERIES: dict[str, Query] = {
     "container_sizes": containers,
     "handle_users": handle_users,
     "xattrs": xattrs,
+    "hostdirs": hostdirs,
     "metalinks": metalinks,
     "mounts": mounts,
     "list_names": lambda s, d: stat.list_names(fx.name_log(s, d)),
@@ -194,6 +208,7 @@ QUERIES: dict[str, Query] = {
     "trace_bounds": _trace(trace.bounds),
     "trace_rejects": _trace(trace.rejects),
     "writer_end": _trace(trace.writer_end),
+    "writer_spans": _trace(trace.writer_spans),
     "writer_stats": _trace(trace.writer_stats),
     "stragglers": _trace(trace.straggler_counts),
     "straggler_rows": lambda s, d: trace.straggler_rows(fx.trace_log(s, d)).select("pid", "seq", "side"),
