@@ -62,4 +62,35 @@ n as (select a, count(*) n from p group by a)
 select v.vec_id, coalesce(n.n, 0)::bigint n_links, m.c component_id, v.vec_id = m.c kept from v left join m on v.vec_id = m.a left join n on v.vec_id = n.a
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_hash_tree_sharding": OP6, "op8_source_mixing": OP8, "op10_pstable_lsh": OP10}
+OP2 = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select doc_id, k, substr(h, 2 * k + 1, 100) s from (select doc_id, h, unnest(range(0, length(h) // 2 - 49)) k from d)),
+m as (select s, min(doc_id) f from w group by s),
+g as (select w.doc_id, w.k from w join m on w.s = m.s where m.f < w.doc_id),
+n as (select doc_id, k, case when k <= lag(k) over (partition by doc_id order by k) + 50 then 0 else 1 end b from g),
+r as (select doc_id, k, sum(b) over (partition by doc_id order by k) i from n),
+p as (select doc_id, min(k) a, max(k) + 50 z from r group by doc_id, i),
+c as (select doc_id, coalesce(lag(z) over (partition by doc_id order by a), 0) s, a e from p union all select doc_id, max(z), null from p group by doc_id),
+t as (select d.doc_id, string_agg(case when e is null then substr(h, 2 * s + 1) else substr(h, 2 * s + 1, 2 * (e - s)) end, '' order by s) h from d join c on d.doc_id = c.doc_id group by d.doc_id),
+q as (select doc_id, sum(z - a)::bigint removed, count(*) spans from p group by doc_id)
+select d.doc_id, length(d.h) // 2 n_bytes, coalesce(removed, 0) n_removed, coalesce(spans, 0) n_spans, sha256(unhex(coalesce(t.h, d.h))) kept_sha256
+from d left join t on d.doc_id = t.doc_id left join q on d.doc_id = q.doc_id
+"""
+
+OP5 = """
+with t as (select distinct conv_id, coalesce(turn, -1) turn, role, coalesce(text, '') x from conversations),
+u as (select distinct conv_id, turn from t where role = 'user'),
+k as (select t.*, case when role = 'user' then 'call' when role = 'assistant' and u.turn is not null then 'result' else coalesce(role, 'unknown') end kind
+  from t left join u on t.conv_id is not distinct from u.conv_id and t.turn = u.turn + 1),
+r as (select distinct conv_id, turn from k where kind = 'result'),
+j as (select k.*, r.turn answered, case kind when 'call' then 'call_' || k.turn when 'result' then 'call_' || (k.turn - 1) end call_id,
+  '{' || case when k.turn >= 2 then '"after":"$result:call_' || (k.turn - 2) || '",' else '' end || '"prompt":' || to_json(x) || '}' args
+  from k left join r on kind = 'call' and k.conv_id is not distinct from r.conv_id and r.turn = k.turn + 1)
+select conv_id, turn, kind, call_id, (case kind when 'call' then answered when 'result' then turn - 1 end)::bigint linked_turn,
+  case when kind = 'call' and answered is null then 'no_result' else 'ok' end status, turn slot, 0::int as level,
+  case kind when 'call' then '{"role":"assistant","tool_calls":[{"function":{"arguments":' || to_json(args) || ',"name":"reply"},"id":"' || call_id || '","type":"function"}]}'
+    when 'result' then '{"content":' || to_json(x) || ',"role":"tool","tool_call_id":"' || call_id || '"}'
+    else '{"content":' || to_json(x) || ',"role":' || to_json(kind) || '}' end as json from j
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_bwt_substring_dedup": OP2, "op5_tool_call_linking": OP5, "op6_hash_tree_sharding": OP6, "op8_source_mixing": OP8, "op10_pstable_lsh": OP10}
