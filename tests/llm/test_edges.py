@@ -96,3 +96,11 @@ def test_messages(spark):
 def test_slots_are_gapless(docs):
     got = sharding.shard(docs, sharding.uniform_tree(3)).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("m"), F.countDistinct("slot").alias("d")).collect()
     assert all(r["n"] == r["m"] + 1 == r["d"] for r in got)
+
+
+def test_dedup_of_nameless_and_repeated_rows(spark):
+    ship(spark)
+    same, other = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, same), (2, same), (2, same), (None, same), (None, other), (None, other), (3, "u v w x y z"), (3, "u v w x y z"), (3, "1 2 3 4 5 6 7")]
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in neartext.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got[:2] == [(0, other), (1, same)] and len(got) == 3 and got[2][0] == 3

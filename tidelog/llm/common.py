@@ -58,6 +58,22 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, flag: str, most_bits: int = 1 << 26) -> DataFrame:
+    """df with a boolean column `flag`: false where the column's value surely is not among keys (one column).
+
+    A bit for each hash of a key, in words of 64: at most most_bits / 64 rows of 16 bytes, which is what is broadcast,
+    whatever the input. With far more keys than bits it is true everywhere, and only saves nothing.
+    """
+    key = keys.columns[0]
+    bits = min(most_bits, 1 << max(16, int(16 * keys.count()).bit_length()))
+    word, place, mask = unused(df, "_word"), unused(df, "_place"), unused(df, "_mask")
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marks = keys.select(at(F.col(f"`{key}`")).alias("h")).groupBy(F.floor(F.col("h") / F.lit(64)).cast("long").alias(word)).agg(F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias(mask))
+    hashed = df.withColumn(place, at(F.col(f"`{column}`"))).withColumn(word, F.floor(F.col(place) / F.lit(64)).cast("long"))
+    found = hashed.join(F.broadcast(marks), word, "left")
+    return found.withColumn(flag, F.coalesce(F.getbit(F.col(mask), (F.col(place) % 64).cast("int")) == 1, F.lit(False))).drop(word, place, mask)
+
+
 def batches_by_bytes(batches: Iterator[pd.DataFrame], column: str, most: int = 2 << 20) -> Iterator[pd.DataFrame]:
     """The same rows in frames of about `most` bytes of the column (of strings or bytes), one row at least."""
     for pdf in batches:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Forest, batches_by_bytes, connected_components, only, unused, utf8, written
+from tidelog.llm.common import Forest, batches_by_bytes, connected_components, maybe_in, only, unused, utf8, written
 
 #: Differing bits of a candidate in the first 64 and in all 128 bits. Pairs of similarity 0.8 differ in 9.7 and 19.4 on
 #: average with deviations of 2.9 and 4.1; these bounds are over 3.5 and over 4 deviations away.
@@ -54,7 +54,7 @@ def majority(h: np.ndarray) -> int:
 
 
 def prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, p, q, size): a hash of the shingle set, its SimHash in two longs, and how many shingles it has."""
+    """(id, t, key, p, q, size): hashes of the text and of its shingle set, the set's SimHash in two longs and its size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_by_bytes(batches, "text"):
@@ -65,9 +65,9 @@ def prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 key = np.array([own.sum(dtype=np.uint64), other.sum(dtype=np.uint64)]).tobytes() + len(own).to_bytes(4, "little")
                 rows.append((key, majority(own), majority(other), len(own)))
             p, q = (np.array([r[k] for r in rows], np.uint64).view(np.int64) for k in (1, 2))
-            yield pd.DataFrame({"id": pdf["id"], "key": [r[0] for r in rows], "p": p, "q": q, "size": [r[3] for r in rows]})
+            yield pd.DataFrame({"id": pdf["id"], "t": pdf["t"], "key": [r[0] for r in rows], "p": p, "q": q, "size": [r[3] for r in rows]})
 
-    return only(docs, id_col, text_col).toDF("id", "text").mapInPandas(run, "id long, key binary, p long, q long, size int")
+    return only(docs, id_col, text_col).toDF("id", "text").withColumn("t", F.xxhash64("text")).mapInPandas(run, "id long, t long, key binary, p long, q long, size int")
 
 
 def tasks(shell: np.ndarray, block: np.ndarray, blocks: dict[int, int]) -> Iterator[tuple[str, int, np.ndarray]]:
@@ -102,9 +102,9 @@ def sides(task: str, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component): the least id among the documents that links of that similarity or more reach.
+    """(id, component, t): the least id among the documents that links of that similarity or more reach.
 
-    Similarity is Jaccard over sets of word shingles (32-bit hashes in the exact check); texts of equal sets are one
+    t is a hash of the text. Similarity is Jaccard over sets of word shingles (32-bit hashes in the exact check); texts of equal sets are one
     class, texts without words too. Every pair of classes that the sizes allow is compared by fingerprint, in blocks;
     the classes that have a candidate bring their shingle sets to a second round of blocks, where a pair is checked
     unless links found there already join it. Tasks give stars, never pairs. Null ids name a component only if it has no
@@ -146,8 +146,9 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
     some = classes.mapInPandas(deal, "task string, side int, rows binary").groupBy("task").applyInPandas(scan, "node long").distinct()
     picked, _ = written(classes.join(some, "node", "left_semi"))
     texts = only(docs, id_col, text_col).toDF("id", "text")
-    sent = texts.join(picked.select(F.col("least").alias("id"), "node", "p", "q", "size", "shell"), "id")
-    small = plan(picked, block // 8)
+    wanted = picked.select(F.col("least").alias("id"), "node", "p", "q", "size", "shell")
+    sent = maybe_in(texts, "id", wanted.select("id"), "_hit").where("_hit").drop("_hit").join(wanted, "id")
+    small = plan(picked, block // 2)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_by_bytes(batches, "text"):
@@ -182,12 +183,23 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
     named = joined.where("component is not null").drop("component")
     whole = named.groupBy("top").agg(F.min("least").alias("component"))
     names, _ = written(alone.union(named.join(whole, "top").select("key", "p", "q", "component")))
-    return marked.join(names, ["key", "p", "q"]).select("id", "component")
+    return marked.join(names, ["key", "p", "q"]).select("id", "component", "t")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is its component's least, each id once; of a component of null ids, one row."""
-    found = groups(docs, words, similarity, id_col=id_col, text_col=text_col)
-    leader = unused(docs, "_leader")
-    leaders = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias(leader)).distinct()
-    return docs.join(leaders, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(leader)), "left_semi").dropDuplicates([id_col])
+    """The rows of docs whose id is its component's least, each id once.
+
+    A row with a null id stays if its component has no other id; such rows of equal texts stay once. Ids that no row
+    loses and no row repeats pass a small filter and are not shuffled; the rest are joined.
+    """
+    found, _ = written(groups(docs, words, similarity, id_col=id_col, text_col=text_col))
+    seen = found.groupBy("id").agg(F.count("*").alias("n"), F.max(F.col("id").eqNullSafe(F.col("component"))).alias("first"), F.min(F.col("id").eqNullSafe(F.col("component"))).alias("all"))
+    odd = seen.where("id is null or n > 1 or not `all`")
+    flag, leader = unused(docs, "_odd"), unused(docs, "_leader")
+    split = maybe_in(docs, id_col, odd.select("id"), flag)
+    key = F.col(f"`{id_col}`")
+    firsts = seen.where("id is not null and first").select(F.col("id").alias(leader))
+    joined = split.where(F.col(flag) & key.isNotNull()).join(firsts, key == F.col(leader), "left_semi").dropDuplicates([id_col])
+    alone = found.where("id is null and component is null").select(F.col("t").alias(leader))
+    nameless = split.where(key.isNull()).join(alone, F.xxhash64(F.col(f"`{text_col}`")) == F.col(leader), "left_semi").dropDuplicates([text_col])
+    return split.where(~F.col(flag) & key.isNotNull()).union(joined).union(nameless).drop(flag)
