@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,11 +87,56 @@ def batches_by_bytes(batches: Iterator[pd.DataFrame], column: str, most: int = 2
             yield pdf.iloc[lo:hi]
 
 
+def sliced(batch: pa.RecordBatch, at: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `most` bytes of the column at that place, one row at least."""
+    sizes = np.array([len(x) if x else 1 for x in batch.column(at).to_pylist()], np.int64)
+    if not len(sizes):
+        return
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
+        yield batch.slice(lo, hi - lo)
+
+
 def utf8(x: object) -> bytes:
     """A text as bytes; null is empty."""
     return x.encode("utf-8", "surrogatepass") if isinstance(x, str) else b""
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, kept for the last size."""
+    size = 1 << max(16, int(n).bit_length())
+    if size not in _POWERS:
+        _POWERS.clear()
+        _POWERS[size] = tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64)))) for b in (_BASE, _INVERSE))
+    return _POWERS[size]
+
+
+class Hashes:
+    """Hashes of any stretch of a byte array, equal for equal stretches."""
+
+    def __init__(self, data: np.ndarray) -> None:
+        up, self.down = _powers(len(data))
+        self.run = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(data * up[: len(data)], dtype=np.uint64, out=self.run[1:])
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return (self.run[stop] - self.run[start]) * self.down[start]
+
+    def grams(self, size: int) -> np.ndarray:
+        """A scrambled hash of every stretch of that size."""
+        n = len(self.run) - size
+        h = (self.run[size:] - self.run[:n]) * self.down[:n]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        return h
+
+
 class Forest:
     """Union-find over hashable values; the root of a tree is its least value."""
 

@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import batches_by_bytes, only, written
-from tidelog.llm.quality import sliced
+from tidelog.llm.common import batches_by_bytes, only, sliced, written
 
 #: Characters that tokens lose.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"

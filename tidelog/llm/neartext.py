@@ -181,7 +181,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
     joined = classes.select("key", "p", "q", "node", "least").join(parts, "node", "left").withColumn("top", F.coalesce("component", "node"))
     alone = joined.where("component is null").select("key", "p", "q", F.col("least").alias("component"))
     named = joined.where("component is not null").drop("component")
-    whole = named.groupBy("top").agg(F.min("least").alias("component"))
+    whole, _ = written(named.groupBy("top").agg(F.min("least").alias("component")))
     names, _ = written(alone.union(named.join(whole, "top").select("key", "p", "q", "component")))
     return marked.join(names, ["key", "p", "q"]).select("id", "component", "t")
 

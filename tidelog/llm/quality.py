@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import batches_by_bytes, only, utf8
+from tidelog.llm.common import Hashes, batches_by_bytes, only, sliced, utf8
 from tidelog.llm.linear import fit_logistic, sigmoid
 
 #: Documents whose features the scorer is fitted on, about, at most.
@@ -25,16 +25,6 @@ _CLASS = np.zeros(256, np.uint8)
 _CLASS[128:] = 3
 for _set, _class in ((b" \t\r\x0b\x0c", 1), (b"\n", 2), (bytes(range(97, 123)), 3), (bytes(range(65, 91)), 4), (bytes(range(48, 58)), 5), (b".", 6), (b",", 7), (b";:?'\"-()/@_", 8), (b"!", 9), (b"#", 10), (b"$", 11), (b"%", 12), (b"&", 13), (b"*+=<>^~\\`[]{}", 14), (b"|", 15)):
     _CLASS[np.frombuffer(_set, np.uint8)] = _class
-_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        _POWERS[size] = tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64)))) for b in (_BASE, _INVERSE))
-    return _POWERS[size]
 
 
 def _vote(value: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
@@ -54,9 +44,7 @@ class Batch:
         blank = (cls == 1) | (cls == 2)
         edge = np.diff(np.concatenate(([True], blank)).astype(np.int8))
         self.start, self.stop = start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        up, down = _powers(len(b))
-        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(b.astype(np.uint64) * up[: len(b)], dtype=np.uint64)))
-        self.hash_of = lambda s, e: (run[e] - run[s]) * down[s]
+        self.hash_of = Hashes(b).of
         self.word_owner = self.owner[start]
         self.words = np.bincount(self.word_owner, minlength=n)
         self.bytes = sizes - 4
@@ -80,12 +68,12 @@ class Batch:
             | same.astype(np.int64) << 7
             | (self.letters == 0).astype(np.int64) << 8
         )
-        self.breaks, self.raw = np.flatnonzero(cls == 2), b
+        self.breaks = np.flatnonzero(cls == 2)
 
     def _distinct_pairs(self, together: np.ndarray) -> np.ndarray:
         """How many different pairs of neighbouring words each text has."""
         owner = self.word_owner[1:][together].astype(np.uint64)
-        code = (self.whole[:-1] * np.uint64(3) + self.whole[1:] * np.uint64(_BASE))[together]
+        code = (self.whole[:-1] * np.uint64(3) + self.whole[1:] * np.uint64(0x9E3779B97F4A7C15))[together]
         code = np.sort(code >> np.uint64(20) | owner << np.uint64(44))  # 44 bits of hash behind the text's number
         new = np.concatenate(([True], code[1:] != code[:-1])) if len(code) else np.zeros(0, bool)
         return np.bincount((code[new] >> np.uint64(44)).astype(np.int64), minlength=self.n)
@@ -259,13 +247,3 @@ def kept(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text_col: str
                 yield part.filter(pa.array(shared.value([utf8(t) for t in part.column(at).to_pylist()])[2] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def sliced(batch: pa.RecordBatch, at: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about `most` bytes of the column at that place, one row at least."""
-    sizes = np.array([len(x) if x else 1 for x in batch.column(at).to_pylist()], np.int64)
-    if not len(sizes):
-        return
-    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
-        yield batch.slice(lo, hi - lo)

@@ -219,6 +219,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 4, id_col: str
     groups, _ = written(marked.groupBy("fp").agg(F.min("id").alias("least")))
     parts = connected_components(links(groups, reach)).withColumnRenamed("node", "fp")
     named = groups.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("top"))
-    whole = named.groupBy("top").agg(F.min("least").alias("component"))
-    names, _ = written(named.where("top != fp").join(whole, "top").select("fp", "component").union(named.where("top = fp").join(whole, "top").select("fp", "component")))
+    whole, _ = written(named.groupBy("top").agg(F.min("least").alias("component")))
+    names, _ = written(named.join(whole, "top").select("fp", "component"))
     return marked.join(names, "fp").select("id", "fp", "component")

@@ -18,24 +18,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import only, utf8, written
+from tidelog.llm.common import Hashes, only, utf8, written
 
 #: Windows a piece has at most, and bytes of text that anchors are computed for at once.
 MOST, SLICE = 32, 1 << 17
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 LAST = np.iinfo(np.int64).max
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        _POWERS[size] = tuple(np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64)))) for b in (_BASE, _INVERSE))
-    return _POWERS[size]
-
-
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value."""
     parts = [np.array([len(arrays)] + [len(a) for a in arrays], np.int64).tobytes(), b"".join(a.dtype.char.encode() for a in arrays)]
@@ -53,26 +42,6 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-class Hashes:
-    """Hashes of any stretch of a byte array, equal for equal stretches."""
-
-    def __init__(self, data: np.ndarray) -> None:
-        up, self.down = _powers(len(data))
-        self.run = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(data * up[: len(data)], dtype=np.uint64, out=self.run[1:])
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return (self.run[stop] - self.run[start]) * self.down[start]
-
-    def grams(self, size: int) -> np.ndarray:
-        n = len(self.run) - size
-        h = (self.run[size:] - self.run[:n]) * self.down[:n]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        return h
-
-
 def least_of(h: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` neighbours."""
     n, step, m = len(h) - width + 1, 1, h
