@@ -66,7 +66,7 @@ def test_range_and_stab_queries(spark, tile):
     own, eof = owners(log), {f: max(r[3] + r[5] for r in log if r[0] == f) for f in "ab"}
     asked = [(k, "ab"[k % 2], 17 * k % 430, 1 + 13 * k % 90) for k in range(40)]
     probes = spark.createDataFrame(asked, "probe_id long, file_id string, offset long, length long")
-    ends = extents.file_stats(frame).select("file_id", "eof")
+    ends = extents.file_stats(frame)
     rows = extents.range_query(extents.resolve(frame), probes, tile, ends).collect()
     for k, f, off, size in asked:
         mine = sorted((r for r in rows if r["probe_id"] == k), key=lambda r: r["logical_offset"])
@@ -110,3 +110,10 @@ def test_one_writer_and_overlap_counts(spark):
     for r in extents.overlaps(frame, 32).collect():
         a = next(x for x in log if x[2] == r["seq"])
         assert r["overlapping"] == sum(b[0] == a[0] and b[2] != a[2] and b[5] > 0 and a[3] < b[3] + b[5] and b[3] < a[3] + a[5] for b in log)
+
+
+def test_a_file_of_empty_records_is_a_hole(spark):
+    frame = spark.createDataFrame([("f", 1, 0, 30, 0, 0, 1, 1)], COLUMNS)
+    probes = spark.createDataFrame([(1, "f", 10, 50)], "probe_id long, file_id string, offset long, length long")
+    got = extents.range_query(extents.resolve(frame), probes, stats=extents.file_stats(frame)).collect()
+    assert [(r["hole"], r["logical_offset"], r["length"], r["last_record"]) for r in got] == [(True, 10, 20, True)]

@@ -107,24 +107,30 @@ def file_stats(log: DataFrame) -> DataFrame:
     return log.groupBy("file_id").agg(F.max(F.expr("logical_offset + length")).alias("eof"), F.sum("length").alias("backing_bytes"), F.count("*").alias("records"))
 
 
-def completed(extents: DataFrame, eof: DataFrame | None = None) -> DataFrame:
-    """Extents with holes as rows (hole true), up to the end of file if that is given as (file_id, eof)."""
-    data = extents.selectExpr("file_id", "false as hole", "logical_offset", "length", "pid", "physical_offset")
-    gaps = holes(extents)
-    if eof is not None:
-        last = extents.groupBy("file_id").agg(F.max(F.expr("logical_offset + length")).alias("end"))
-        tail = eof.join(last, "file_id", "left").selectExpr("file_id", "coalesce(end, 0L) as hole_offset", "eof - coalesce(end, 0L) as hole_length").where("hole_length > 0")
-        gaps = gaps.union(tail)
-    return data.union(gaps.selectExpr("file_id", "true", "hole_offset", "hole_length", "cast(null as bigint)", "cast(null as bigint)"))
-
-
-def range_query(extents: DataFrame, probes: DataFrame, tile: int = TILE, eof: DataFrame | None = None) -> DataFrame:
-    """What each probe (probe_id, file_id, offset, length) reads: records in order, holes included, up to end of file.
+def completed(extents: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Extents with holes as rows (hole true), up to the end of file if file_stats() are given. One pass over extents."""
+    near = neighbours(extents)
+    if stats is not None:
+        near = near.join(stats.select("file_id", "eof"), "file_id", "left").withColumn("next_offset", F.coalesce("next_offset", "eof"))
+    data = "named_struct('hole', false, 'logical_offset', logical_offset, 'length', length, 'pid', pid, 'physical_offset', physical_offset)"
+    gap = "named_struct('hole', true, 'logical_offset', {}, 'length', {}, 'pid', cast(null as bigint), 'physical_offset', cast(null as bigint))"
+    after = gap.format("logical_offset + length", "coalesce(next_offset - logical_offset - length, 0L)")
+    first = gap.format("0L", "case when prev_end is null then logical_offset else 0L end")
+    rows = near.selectExpr("file_id", f"explode(filter(array({data}, {after}, {first}), x -> x.length > 0)) as x").select("file_id", "x.*")
+    if stats is None:
+        return rows
+    empty = stats.where("backing_bytes = 0 and eof > 0")
+    return rows.union(empty.selectExpr("file_id", "true", "0L", "eof", "cast(null as bigint)", "cast(null as bigint)"))
+
+
+def range_query(extents: DataFrame, probes: DataFrame, tile: int = TILE, stats: DataFrame | None = None) -> DataFrame:
+    """What each probe (probe_id, file_id, offset, length) reads: records in order, holes included, up to the end of
+    file if file_stats() are given.
 
     Columns probe_id, file_id, hole, logical_offset, length, pid, chunk_offset, last_record. Extents with holes and
     probes meet in an equi-join on (file, tile); pieces that a tile cut are put together by a window over one probe.
     """
-    cells = tiled(completed(extents, eof).selectExpr("*", "logical_offset as lo", "logical_offset + length as hi"), tile=tile)
+    cells = tiled(completed(extents, stats).selectExpr("*", "logical_offset as lo", "logical_offset + length as hi"), tile=tile)
     asked = tiled(probes.where("length > 0").selectExpr("probe_id", "file_id", "offset as plo", "offset + length as phi"), "plo", "phi", tile)
     met = cells.join(asked, ["file_id", "tile"]).where("lo < phi and plo < hi").selectExpr("probe_id", "file_id", "hole", "logical_offset", "pid", "physical_offset", "greatest(lo, plo) as a", "least(hi, phi) as b")
     whole = met.groupBy("probe_id", "file_id", "hole", "logical_offset", "pid", "physical_offset").agg(F.min("a").alias("a"), F.max("b").alias("b"))
@@ -151,13 +157,13 @@ def rewritten(log: DataFrame, size: int) -> DataFrame:
     return truncate(log, size).orderBy("begin_us", "pid", "seq")
 
 
-def stab_lookup(extents: DataFrame, probes: DataFrame, tile: int = TILE, eof: DataFrame | None = None) -> DataFrame:
+def stab_lookup(extents: DataFrame, probes: DataFrame, tile: int = TILE, stats: DataFrame | None = None) -> DataFrame:
     """What holds the byte at each probe (probe_id, file_id, offset): data, hole or eof, and how far it goes on.
 
     Columns probe_id, file_id, offset, state, pid, chunk_offset, run. An as-of match inside tiles: probes and the pieces
     of extents are sorted together, and each probe takes the last piece before it if that covers it.
     """
-    cells = tiled(completed(extents, eof).selectExpr("file_id", "hole", "pid", "physical_offset", "logical_offset", "logical_offset + length as stop", "logical_offset as lo", "logical_offset + length as hi"), tile=tile)
+    cells = tiled(completed(extents, stats).selectExpr("file_id", "hole", "pid", "physical_offset", "logical_offset", "logical_offset + length as stop", "logical_offset as lo", "logical_offset + length as hi"), tile=tile)
     piece = cells.selectExpr("file_id", "tile", "lo as at", "0 as kind", "cast(null as bigint) as probe_id", "struct(hole, pid, physical_offset, logical_offset, stop, hi) as c")
     asked = probes.selectExpr("file_id", f"cast(floor(offset / {tile}) as bigint) as tile", "offset as at", "1 as kind", "probe_id", "cast(null as struct<hole: boolean, pid: bigint, physical_offset: bigint, logical_offset: bigint, stop: bigint, hi: bigint>) as c")
     seen = piece.union(asked).selectExpr("*", "last(c, true) over (partition by file_id, tile order by at, kind rows between unbounded preceding and current row) as l").where("kind = 1")

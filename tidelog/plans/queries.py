@@ -28,8 +28,8 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.selectExpr("event_id as probe_id", "event_type as file_id", "event_id * 104729 % 1010000 as offset", "1 + event_id % 5000 as length")
 
 
-def eofs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extents.file_stats(fx.raw_write_log(spark, sf_dir)).select("file_id", "eof")
+def file_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extents.file_stats(fx.raw_write_log(spark, sf_dir))
 
 
 def host_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def hostdirs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def data_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extents.range_query(resolved(spark, sf_dir), probes(spark, sf_dir), eof=eofs(spark, sf_dir))
+    found = extents.range_query(resolved(spark, sf_dir), probes(spark, sf_dir), stats=file_ends(spark, sf_dir))
     chunks = fx.table(spark, sf_dir, "events").selectExpr("event_type as file_id", "user_id as pid", "concat('/store/', event_type, '/dropping.data.', user_id) as data_path").distinct()
     return extents.data_paths(found, chunks).select("probe_id", "logical_offset", "length", "hole", "chunk_offset", "data_path")
 
@@ -174,9 +174,9 @@ QUERIES: dict[str, Query] = {
     "coalesce": _map(extents.coalesce),
     "contiguous_writes": _log(extents.contiguous_writes),
     "overlaps": _raw(extents.overlaps),
-    "range_query": lambda s, d: extents.range_query(resolved(s, d), probes(s, d), eof=eofs(s, d)),
-    "read_tasks": lambda s, d: extents.read_tasks(extents.range_query(resolved(s, d), probes(s, d), eof=eofs(s, d))),
-    "stab_lookup": lambda s, d: extents.stab_lookup(resolved(s, d), probes(s, d), eof=eofs(s, d)),
+    "range_query": lambda s, d: extents.range_query(resolved(s, d), probes(s, d), stats=file_ends(s, d)),
+    "read_tasks": lambda s, d: extents.read_tasks(extents.range_query(resolved(s, d), probes(s, d), stats=file_ends(s, d))),
+    "stab_lookup": lambda s, d: extents.stab_lookup(resolved(s, d), probes(s, d), stats=file_ends(s, d)),
     "truncate_extents": _map(lambda x: extents.truncate(x, TRUNCATE_AT)),
     "data_paths": data_paths,
     "rewritten_log": _log(lambda x: extents.rewritten(x, TRUNCATE_AT)),
