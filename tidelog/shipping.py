@@ -9,8 +9,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Add this package to the session's Python files, once a session, so that workers can import it anywhere."""
+    """Add this package to the session's Python files, once a session, so that workers can import it anywhere.
+
+    Unless the session says otherwise, batches that go to Python hold few megabytes, however long their texts are.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "4m")
     context = spark.sparkContext
     if getattr(context, "_tidelog_shipped", False):
         return
