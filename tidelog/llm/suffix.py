@@ -82,6 +82,9 @@ class Chunk:
     def pieces(self, wanted: np.ndarray | None = None, key=None) -> Pieces:
         """All pieces, or those whose key(anchor) is in the sorted array wanted."""
         out, width = [], self.width
+        if wanted is not None:  # most anchors fail at a table of their low bits
+            likely, low = np.zeros(1 << 22, bool), np.uint64((1 << 22) - 1)
+            likely[wanted & low] = True
         begins = self.ends - self.sizes
         for lo in range(0, len(self.data), SLICE):  # slices overlap by a window
             hi = min(lo + SLICE, len(self.data))
@@ -103,9 +106,9 @@ class Chunk:
             count = np.minimum(np.append(begin[1:], len(m)), bad[np.searchsorted(bad, begin)]) - begin
             anchor = m[begin]
             if wanted is not None:
-                k = key(anchor)
-                spot = np.minimum(np.searchsorted(wanted, k), max(0, len(wanted) - 1))
-                hit = wanted[spot] == k if len(wanted) else np.zeros(len(k), bool)
+                hit = np.flatnonzero(likely[anchor & low])
+                k = key(anchor[hit])
+                hit = hit[wanted[np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)] == k] if len(wanted) else hit[:0]
                 begin, count, anchor = begin[hit], count[hit], anchor[hit]
             parts = -(-count // MOST)
             inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -312,7 +315,7 @@ def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int =
         chunk = Chunk(pdf["blob"], width, gram)
         p = chunk.pieces()
         k = key(p.anchor)
-        order = np.lexsort((chunk.ids[p.doc], k))
+        order = np.argsort(k, kind="stable")  # pieces stand by document already
         k, d = k[order], chunk.ids[p.doc][order]
         new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
         at = np.flatnonzero(new)
