@@ -67,7 +67,8 @@ def index_of_names(current: DataFrame, index: DataFrame) -> DataFrame:
 
 def cuts(index: DataFrame, keys: list[str]) -> DataFrame:
     """Writes with the least offset that a later truncate of their file cut at (null: none), and the truncates so too."""
-    w = f"(partition by {', '.join(keys)} order by ts_us, did, seq rows between 1 following and unbounded following)"
+    # newest first, so that the frame grows with the rows instead of being scanned anew for each
+    w = f"(partition by {', '.join(keys)} order by ts_us desc, did desc, seq desc rows between unbounded preceding and 1 preceding)"
     return index.selectExpr("*", f"min(case when physical_offset = -1 then off end) over {w} as later_cut")
 
 
