@@ -104,3 +104,29 @@ def test_dedup_of_nameless_and_repeated_rows(spark):
     rows = [(1, same), (2, same), (2, same), (None, same), (None, other), (None, other), (3, "u v w x y z"), (3, "u v w x y z"), (3, "1 2 3 4 5 6 7")]
     got = sorted(((r["doc_id"] or 0, r["text"]) for r in neartext.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got[:2] == [(0, other), (1, same)] and len(got) == 3 and got[2][0] == 3
+
+
+def near(word, **changed):
+    """Sixty words of their own; a changed one is in five of their shingles."""
+    return " ".join(changed.get(f"{word}{k}", f"{word}{k}") for k in range(60))
+
+
+def test_near_copies_without_ids(spark):
+    ship(spark)
+    rows = [(1, near("a")), (None, near("a", a30="x")), (None, near("b")), (None, near("b", b59="x")), (None, near("c"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = neartext.groups(docs).collect()
+    assert sorted(r["component"] or 0 for r in found) == [0, 0, 0, 1, 1] and len({r["lead"] for r in found}) == 3
+    got = [(r["doc_id"], r["text"][:1]) for r in neartext.deduplicated(docs).collect()]
+    assert sorted(got, key=lambda r: r[1]) == [(1, "a"), (None, "b"), (None, "c")]
+
+
+def test_texts_under_one_id(spark):
+    ship(spark)
+    rows = [(7, near("a")), (7, near("b")), (3, near("a", a30="x")), (9, near("b", b30="x")), (20, near("c")), (20, near("d")), (21, near("c", c30="x")), (22, near("d", d30="x"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r["id"], r["t"]): (r["component"], r["lead"]) for r in neartext.groups(docs).collect()}
+    hashed = {r["text"]: r["t"] for r in docs.select("text", F.xxhash64("text").alias("t")).collect()}
+    assert [found[i, hashed[t]][0] for i, t in rows] == [3, 7, 3, 7, 20, 20, 20, 20] and len({x for _, x in found.values()}) == 4
+    got = {(r["doc_id"], r["text"][0]) for r in neartext.deduplicated(docs).collect()}
+    assert {(3, "a"), (7, "b")} < got and got - {(3, "a"), (7, "b")} in ({(20, "c"), (22, "d")}, {(20, "d"), (21, "c")})

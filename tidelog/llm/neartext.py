@@ -102,18 +102,19 @@ def sides(task: str, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component, t): the least id among the documents that links of that similarity or more reach.
+    """(id, component, t, lead): the least id among the documents that links of that similarity or more reach.
 
-    t is a hash of the text. Similarity is Jaccard over sets of word shingles (32-bit hashes in the exact check); texts of equal sets are one
+    t is a hash of the text, lead the least one in the component, which tells components apart that have no id or the
+    same least id, where one id has several texts. Similarity is Jaccard over sets of word shingles (32-bit hashes in the exact check); texts of equal sets are one
     class, texts without words too. Every pair of classes that the sizes allow is compared by fingerprint, in blocks;
     the classes that have a candidate bring their shingle sets to a second round of blocks, where a pair is checked
-    unless links found there already join it. Tasks give stars, never pairs. Null ids name a component only if it has no
-    other; repeated rows come back each; an empty table gives no rows.
+    unless links found there already join it. Tasks give stars, never pairs. A component of null ids only has none
+    for a name; repeated rows come back each; an empty table gives no rows.
     """
     base = 1 / similarity
     marked, _ = written(prints(docs, words, id_col, text_col))
     classes, _ = written(
-        marked.groupBy("key", "p", "q", "size").agg(F.min("id").alias("least")).withColumn("node", F.coalesce("least", -F.abs(F.xxhash64("key"))))
+        marked.groupBy("key", "p", "q", "size").agg(F.min("id").alias("least"), F.min("t").alias("t")).withColumn("node", F.monotonically_increasing_id())
         .withColumn("shell", F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(base)))).otherwise(F.lit(-2)).cast("int"))
     )
 
@@ -145,9 +146,9 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
 
     some = classes.mapInPandas(deal, "task string, side int, rows binary").groupBy("task").applyInPandas(scan, "node long").distinct()
     picked, _ = written(classes.join(some, "node", "left_semi"))
-    texts = only(docs, id_col, text_col).toDF("id", "text")
-    wanted = picked.select(F.col("least").alias("id"), "node", "p", "q", "size", "shell")
-    sent = maybe_in(texts, "id", wanted.select("id"), "_hit").where("_hit").drop("_hit").join(wanted, "id")
+    texts = only(docs, text_col).toDF("text").withColumn("t", F.xxhash64("text"))
+    wanted = picked.select("t", "node", "p", "q", "size", "shell")
+    sent = maybe_in(texts, "t", wanted.select("t"), "_hit").where("_hit").drop("_hit").dropDuplicates(["t"]).join(wanted, "t")
     small = plan(picked, block // 2)
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,28 +179,34 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
 
     edges = sent.mapInPandas(spread, "task string, side int, node long, p long, q long, size int, own binary").groupBy("task").applyInPandas(check, "a long, b long")
     parts = connected_components(edges)
-    joined = classes.select("key", "p", "q", "node", "least").join(parts, "node", "left").withColumn("top", F.coalesce("component", "node"))
-    alone = joined.where("component is null").select("key", "p", "q", F.col("least").alias("component"))
-    named = joined.where("component is not null").drop("component")
-    whole, _ = written(named.groupBy("top").agg(F.min("least").alias("component")))
-    names, _ = written(alone.union(named.join(whole, "top").select("key", "p", "q", "component")))
-    return marked.join(names, ["key", "p", "q"]).select("id", "component", "t")
+    joined = classes.select("key", "p", "q", "node", "least", "t").join(parts, "node", "left").withColumnRenamed("component", "top")
+    alone = joined.where("top is null").select("key", "p", "q", F.col("least").alias("component"), F.col("t").alias("lead"))
+    named = joined.where("top is not null")
+    whole, _ = written(named.groupBy("top").agg(F.min("least").alias("component"), F.min("t").alias("lead")))
+    names, _ = written(alone.union(named.join(whole, "top").select("key", "p", "q", "component", "lead")))
+    return marked.join(names, ["key", "p", "q"]).select("id", "component", "t", "lead")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is its component's least, each id once.
+    """A row of each component: that of the least id; each id once.
 
-    A row with a null id stays if its component has no other id; such rows of equal texts stay once. Ids that no row
-    loses and no row repeats pass a small filter and are not shuffled; the rest are joined.
+    An id with several texts stands for one of them: one whose component it is the least id of, if there is one, and
+    of several that of the least hash; the components of its other texts go on to their next id. A component that no id
+    stands for keeps the row with a null id that has the least hash, if it has any. Ids that no row loses and no row
+    repeats pass a small filter and are not shuffled; the rest are joined.
     """
     found, _ = written(groups(docs, words, similarity, id_col=id_col, text_col=text_col))
-    seen = found.groupBy("id").agg(F.count("*").alias("n"), F.max(F.col("id").eqNullSafe(F.col("component"))).alias("first"), F.min(F.col("id").eqNullSafe(F.col("component"))).alias("all"))
-    odd = seen.where("id is null or n > 1 or not `all`")
-    flag, leader = unused(docs, "_odd"), unused(docs, "_leader")
+    first = F.col("id") == F.col("component")
+    own, lead = F.when(first, F.col("t")), F.when(first, F.col("lead"))
+    ids = found.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.coalesce(F.min(own), F.min("t")).alias("t"), F.coalesce(F.min_by(lead, own), F.min_by("lead", "t")).alias("lead"))
+    ids, _ = written(ids)
+    firsts, _ = written(ids.groupBy("lead").agg(F.min("id").alias("id"), F.min_by("t", "id").alias("t")))
+    odd = ids.select("id", "n").join(firsts.select("id", F.lit(True).alias("first")), "id", "left").where("n > 1 or first is null")
+    flag, leader, hashed = unused(docs, "_odd"), unused(docs, "_leader"), unused(docs, "_hashed")
     split = maybe_in(docs, id_col, odd.select("id"), flag)
-    key = F.col(f"`{id_col}`")
-    firsts = seen.where("id is not null and first").select(F.col("id").alias(leader))
-    joined = split.where(F.col(flag) & key.isNotNull()).join(firsts, key == F.col(leader), "left_semi").dropDuplicates([id_col])
-    alone = found.where("id is null and component is null").select(F.col("t").alias(leader))
-    nameless = split.where(key.isNull()).join(alone, F.xxhash64(F.col(f"`{text_col}`")) == F.col(leader), "left_semi").dropDuplicates([text_col])
+    key, text = F.col(f"`{id_col}`"), F.xxhash64(F.col(f"`{text_col}`"))
+    stay = firsts.select(F.col("id").alias(leader), F.col("t").alias(hashed))
+    joined = split.where(F.col(flag) & key.isNotNull()).join(stay, (key == F.col(leader)) & (text == F.col(hashed)), "left_semi").dropDuplicates([id_col])
+    alone = found.where("id is null").groupBy("lead").agg(F.min("t").alias(leader)).join(firsts.select("lead"), "lead", "left_anti")
+    nameless = split.where(key.isNull()).join(alone.select(leader), text == F.col(leader), "left_semi").dropDuplicates([text_col])
     return split.where(~F.col(flag) & key.isNotNull()).union(joined).union(nameless).drop(flag)
