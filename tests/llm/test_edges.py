@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
+from math import comb
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,28 @@ def test_texts_under_one_id(spark):
     assert [found[i, hashed[t]][0] for i, t in rows] == [3, 7, 3, 7, 20, 20, 20, 20] and len({x for _, x in found.values()}) == 4
     got = {(r["doc_id"], r["text"][0]) for r in neartext.deduplicated(docs).collect()}
     assert {(3, "a"), (7, "b")} < got and got - {(3, "a"), (7, "b")} in ({(20, "c"), (22, "d")}, {(20, "d"), (21, "c")})
+
+
+def bit_differs(both, a, b):
+    """The chance of a bit to differ between sets that share so many shingles and have a and b more: exact sums."""
+    half = lambda n: [comb(n, k) / 2**n for k in range(n + 1)]
+    over = lambda n, k, size: sum(half(n)[max(0, size // 2 + 1 - k) :])
+    sums = ((x, over(a, k, both + a), over(b, k, both + b)) for k, x in enumerate(half(both)))
+    return sum(x * (p * (1 - q) + q * (1 - p)) for x, p, q in sums)
+
+
+def test_gate_of_pairs_at_the_threshold():
+    beyond = lambda n, p, most: sum(comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(most + 1, n + 1))
+    for both in [*range(4, 45), 60, 80, 108]:
+        more = both // 4
+        for a in range(more // 2 + 1):
+            p, kind = bit_differs(both, a, more - a), int(both + a >= neartext.SMALL)
+            kinds = {kind, int(both + more - a >= neartext.SMALL)}
+            assert all(beyond(128, p, neartext.FIRST[1 - (k == 0)]) + beyond(256, p, neartext.ALL[1 - (k == 0)]) < 3e-9 for k in kinds), (both, a)
+
+
+def test_four_of_five_shingles(spark):
+    ship(spark)
+    rows = [(2 * k + m, " ".join(f"w{k}x{i}" for i in range(8 + m))) for k in range(2000) for m in (0, 1)]
+    found = neartext.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["id"], r["component"]) for r in found} == {(i, i - i % 2) for i, _ in rows}

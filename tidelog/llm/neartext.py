@@ -4,7 +4,7 @@ A document is its set of word shingles. In the Hamming metric of such sets the e
 of s shingles is s away from it. Sets of Jaccard similarity t differ by no more than the triangle bound allows sizes to
 differ: the smaller has at least t times the larger's shingles. So shells of sizes in the ratio t meet themselves and
 the next shell only. (Vantage points among the fingerprints prune nothing here: at similarity 0.8 some 15 % of all bits
-differ, more than the distances to any fixed fingerprint vary.) Inside a pair of shells, 128-bit SimHashes name the
+differ, more than the distances to any fixed fingerprint vary.) Inside a pair of shells, 256-bit SimHashes name the
 candidates, and shingle sets decide.
 """
 
@@ -21,9 +21,12 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import Forest, batches_by_bytes, connected_components, maybe_in, only, unused, utf8, written
 
-#: Differing bits of a candidate in the first 64 and in all 128 bits. Pairs of similarity 0.8 differ in 9.7 and 19.4 on
-#: average with deviations of 2.9 and 4.1; these bounds are over 3.5 and over 4 deviations away.
-FIRST, ALL = 20, 37
+PRINTS = ["p", "q", "r", "s"]
+#: Most differing bits of a candidate in the first 128 and in all 256 bits, for sets of under SMALL shingles and others.
+#: Of the pairs of similarity 0.8 and more, those of 4 and 5 shingles differ most, in 0.1875 of the bits, others in up to
+#: 0.1612 (ties of even sets count as 0). By exact binomial sums, bits taken as independent, both bounds together are passed by
+#: no more than 1.3e-9 of the pairs; the bounds are for that similarity.
+SMALL, FIRST, ALL = 6, (53, 49), (89, 80)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -45,16 +48,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def majority(h: np.ndarray) -> int:
-    """The 64 bits that over half the hashes have."""
-    total = np.zeros(64, np.int64)
-    for lo in range(0, len(h), 255):
-        total += np.unpackbits(h[lo : lo + 255].view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.uint8)
-    return int(np.packbits(total * 2 > len(h)).view(np.uint64)[0]) if len(h) else 0
+def majorities(own: np.ndarray) -> np.ndarray:
+    """The SimHash: the bits that over half the hashes have, of four hashes made of each."""
+    if not len(own):
+        return np.zeros(len(PRINTS), np.uint64)
+    made = [own]
+    for _ in PRINTS[1:]:
+        made.append(mixed(made[-1]))
+    every, total = np.stack(made, axis=1), np.zeros(64 * len(PRINTS), np.int64)
+    for lo in range(0, len(own), 255):
+        total += np.unpackbits(every[lo : lo + 255].view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(own)).view(np.uint64)
 
 
 def prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, t, key, p, q, size): hashes of the text and of its shingle set, the set's SimHash in two longs and its size."""
+    """(id, t, key, p, q, r, s, size): hashes of the text and of its shingle set, the set's SimHash in longs and its size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_by_bytes(batches, "text"):
@@ -63,11 +71,11 @@ def prints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 own = np.unique(shingle_hashes(text, words))
                 other = mixed(own)
                 key = np.array([own.sum(dtype=np.uint64), other.sum(dtype=np.uint64)]).tobytes() + len(own).to_bytes(4, "little")
-                rows.append((key, majority(own), majority(other), len(own)))
-            p, q = (np.array([r[k] for r in rows], np.uint64).view(np.int64) for k in (1, 2))
-            yield pd.DataFrame({"id": pdf["id"], "t": pdf["t"], "key": [r[0] for r in rows], "p": p, "q": q, "size": [r[3] for r in rows]})
+                rows.append((key, majorities(own), len(own)))
+            bits = np.stack([r[1] for r in rows], axis=1).view(np.int64)
+            yield pd.DataFrame({"id": pdf["id"], "t": pdf["t"], "key": [r[0] for r in rows], **dict(zip(PRINTS, bits, strict=True)), "size": [r[2] for r in rows]})
 
-    return only(docs, id_col, text_col).toDF("id", "text").withColumn("t", F.xxhash64("text")).mapInPandas(run, "id long, t long, key binary, p long, q long, size int")
+    return only(docs, id_col, text_col).toDF("id", "text").withColumn("t", F.xxhash64("text")).mapInPandas(run, "id long, t long, key binary, p long, q long, r long, s long, size int")
 
 
 def tasks(shell: np.ndarray, block: np.ndarray, blocks: dict[int, int]) -> Iterator[tuple[str, int, np.ndarray]]:
@@ -83,15 +91,23 @@ def tasks(shell: np.ndarray, block: np.ndarray, blocks: dict[int, int]) -> Itera
                 yield f"{k - 1}:{j}:{k}:{i}", 1, rows
 
 
-def candidates(p: np.ndarray, q: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of the left and right lists whose fingerprints are near and whose sizes allow the similarity."""
-    step = max(1, (1 << 19) // max(1, len(right)))
+def candidates(bits: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the left and right lists whose fingerprints are near and whose sizes allow the similarity.
+
+    Rows are of unequal sets, so sets of equal sizes share a shingle less than they have at most.
+    """
+    step, (p, q) = max(1, (1 << 19) // max(1, len(right))), bits[:2]
+    first, every = (np.where(size < SMALL, *most).astype(np.uint16) for most in (FIRST, ALL))
     for lo in range(0, len(left), step):
         own = left[lo : lo + step]
-        x, y = np.nonzero(np.bitwise_count(p[own, None] ^ p[None, right]) <= FIRST)
+        apart = np.bitwise_count(p[own, None] ^ p[None, right])
+        apart += np.bitwise_count(q[own, None] ^ q[None, right])
+        x, y = np.nonzero(apart <= first[own, None])
         a, b = own[x], right[y]
-        near = (np.bitwise_count(p[a] ^ p[b]) + np.bitwise_count(q[a] ^ q[b]) <= ALL) & (a != b)
-        near &= np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9
+        most = np.minimum(size[a], size[b]) - (size[a] == size[b])
+        fit = (most >= similarity * (size[a] + size[b] - most) - 1e-9) & (a != b)
+        a, b = a[fit], b[fit]
+        near = np.bitwise_count(bits[:, a] ^ bits[:, b]).sum(axis=0, dtype=np.uint16) <= every[a]
         yield a[near], b[near]
 
 
@@ -105,8 +121,8 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
     """(id, component, t, lead): the least id among the documents that links of that similarity or more reach.
 
     t is a hash of the text, lead the least one in the component, which tells components apart that have no id or the
-    same least id, where one id has several texts. Similarity is Jaccard over sets of word shingles (32-bit hashes in the exact check); texts of equal sets are one
-    class, texts without words too. Every pair of classes that the sizes allow is compared by fingerprint, in blocks;
+    same least id, where one id has several texts. Similarity is Jaccard over sets of word shingles (32-bit hashes in
+    the exact check); texts of equal sets are one class, texts without words too. Every pair of classes that the sizes allow is compared by fingerprint, in blocks;
     the classes that have a candidate bring their shingle sets to a second round of blocks, where a pair is checked
     unless links found there already join it. Tasks give stars, never pairs. A component of null ids only has none
     for a name; repeated rows come back each; an empty table gives no rows.
@@ -114,7 +130,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
     base = 1 / similarity
     marked, _ = written(prints(docs, words, id_col, text_col))
     classes, _ = written(
-        marked.groupBy("key", "p", "q", "size").agg(F.min("id").alias("least"), F.min("t").alias("t")).withColumn("node", F.monotonically_increasing_id())
+        marked.groupBy("key", *PRINTS, "size").agg(F.min("id").alias("least"), F.min("t").alias("t")).withColumn("node", F.monotonically_increasing_id())
         .withColumn("shell", F.when(F.col("size") > 0, F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(base)))).otherwise(F.lit(-2)).cast("int"))
     )
 
@@ -129,25 +145,25 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            node, p, q = (pdf[c].to_numpy(np.int64) for c in ("node", "p", "q"))
+            node, bits = pdf["node"].to_numpy(np.int64), pdf[PRINTS].to_numpy(np.int64).T
             size, shell = pdf["size"].to_numpy(np.int64), pdf["shell"].to_numpy(np.int64)
-            out = [(t, s, np.stack((node[r], p[r], q[r], size[r])).tobytes()) for t, s, r in tasks(shell, block_of(node, shell, blocks), blocks)]
+            out = [(t, s, np.stack((node[r], *bits[:, r], size[r])).tobytes()) for t, s, r in tasks(shell, block_of(node, shell, blocks), blocks)]
             yield pd.DataFrame(out, columns=["task", "side", "rows"])
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.frombuffer(x, np.int64).reshape(4, -1) for x in pdf["rows"]]
+        parts = [np.frombuffer(x, np.int64).reshape(2 + len(PRINTS), -1) for x in pdf["rows"]]
         side = np.repeat(pdf["side"].to_numpy(), [x.shape[1] for x in parts])
-        node, p, q, size = np.concatenate(parts, axis=1)
+        node, *bits, size = np.concatenate(parts, axis=1)
         found = np.zeros(len(node), bool)
         left, right = sides(pdf["task"].iloc[0], side)
-        for a, b in candidates(p.view(np.uint64), q.view(np.uint64), size, left, right, similarity):
+        for a, b in candidates(np.stack(bits).view(np.uint64), size, left, right, similarity):
             found[a] = found[b] = True
         return pd.DataFrame({"node": node[found]})
 
     some = classes.mapInPandas(deal, "task string, side int, rows binary").groupBy("task").applyInPandas(scan, "node long").distinct()
     picked, _ = written(classes.join(some, "node", "left_semi"))
     texts = only(docs, text_col).toDF("text").withColumn("t", F.xxhash64("text"))
-    wanted = picked.select("t", "node", "p", "q", "size", "shell")
+    wanted = picked.select("t", "node", *PRINTS, "size", "shell")
     sent = maybe_in(texts, "t", wanted.select("t"), "_hit").where("_hit").drop("_hit").dropDuplicates(["t"]).join(wanted, "t")
     small = plan(picked, block // 2)
 
@@ -156,16 +172,16 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
             sets = [np.unique(np.unique(shingle_hashes(t, words)).astype(np.uint32)).tobytes() for t in pdf["text"]]
             node, shell = pdf["node"].to_numpy(np.int64), pdf["shell"].to_numpy(np.int64)
             for t, s, r in tasks(shell, block_of(node, shell, small), small):
-                yield pd.DataFrame({"task": t, "side": s, "node": node[r], "p": pdf["p"].to_numpy()[r], "q": pdf["q"].to_numpy()[r], "size": pdf["size"].to_numpy()[r], "own": [sets[k] for k in r]})
+                yield pd.DataFrame({"task": t, "side": s, "node": node[r], **{c: pdf[c].to_numpy()[r] for c in PRINTS}, "size": pdf["size"].to_numpy()[r], "own": [sets[k] for k in r]})
 
     def check(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["node", "side"])
         node, size = pdf["node"].to_numpy(), pdf["size"].to_numpy(np.int64)
         sets, tree = [np.frombuffer(x, np.uint32) for x in pdf["own"]], Forest()
         left, right = sides(pdf["task"].iloc[0], pdf["side"].to_numpy())
-        p, q = (pdf[c].to_numpy(np.int64).view(np.uint64) for c in ("p", "q"))
+        bits = np.stack([pdf[c].to_numpy(np.int64) for c in PRINTS]).view(np.uint64)
         linked: set[int] = set()
-        for a, b in candidates(p, q, size, left, right, similarity):
+        for a, b in candidates(bits, size, left, right, similarity):
             for i, j in zip(a.tolist(), b.tolist(), strict=True):
                 x, y = int(node[i]), int(node[j])
                 if x == y or tree.root(x) == tree.root(y):
@@ -177,14 +193,14 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
         pairs = [(x, r) for x in linked if (r := tree.root(x)) != x]
         return pd.DataFrame(pairs, columns=["a", "b"])
 
-    edges = sent.mapInPandas(spread, "task string, side int, node long, p long, q long, size int, own binary").groupBy("task").applyInPandas(check, "a long, b long")
+    edges = sent.mapInPandas(spread, "task string, side int, node long, p long, q long, r long, s long, size int, own binary").groupBy("task").applyInPandas(check, "a long, b long")
     parts = connected_components(edges)
-    joined = classes.select("key", "p", "q", "node", "least", "t").join(parts, "node", "left").withColumnRenamed("component", "top")
-    alone = joined.where("top is null").select("key", "p", "q", F.col("least").alias("component"), F.col("t").alias("lead"))
+    joined = classes.select("key", *PRINTS[:2], "node", "least", "t").join(parts, "node", "left").withColumnRenamed("component", "top")
+    alone = joined.where("top is null").select("key", *PRINTS[:2], F.col("least").alias("component"), F.col("t").alias("lead"))
     named = joined.where("top is not null")
     whole, _ = written(named.groupBy("top").agg(F.min("least").alias("component"), F.min("t").alias("lead")))
-    names, _ = written(alone.union(named.join(whole, "top").select("key", "p", "q", "component", "lead")))
-    return marked.join(names, ["key", "p", "q"]).select("id", "component", "t", "lead")
+    names, _ = written(alone.union(named.join(whole, "top").select("key", *PRINTS[:2], "component", "lead")))
+    return marked.join(names, ["key", *PRINTS[:2]]).select("id", "component", "t", "lead")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
