@@ -71,9 +71,14 @@ def test_small_files_are_a_fold(spark, seed):
     assert {r["fid"]: r["size"] for r in names.small_size(frame).collect()} == size
 
 
-def test_truncates_of_the_scenario(spark):
-    rows = [(i % 10, 1, i, 10 * i, 10, i, 10 * (i // 10)) for i in range(1000)]
-    cuts = [(0, 1, 1000 + k, off, 0, 1000 + k, -1) for k, off in enumerate([9373, 3524, 5876, 2010, 91])]
+# Where the scenario's truncates cut.
+CUTS = (9373, 3524, 5876, 2010, 91)
+
+
+@pytest.mark.parametrize("apart", [1, 1 << 34])
+def test_truncates_of_the_scenario(spark, apart):
+    rows = [(i % 10, 1, i, 10 * i, 10, i * apart, 10 * (i // 10)) for i in range(1000)]
+    cuts = [(0, 1, 1000 + k, off, 0, (1000 + k) * apart, -1) for k, off in enumerate(CUTS)]
     for k in range(1, 6):
         assert names.small_size(spark.createDataFrame(rows + cuts[:k], SMALL)).first()["size"] == cuts[k - 1][3]
 
@@ -118,3 +123,68 @@ def test_hash_and_paths(spark):
     paths = {"/a//b/./c": "/a/b/c", "/a/../..": "/", "../x": "../x", "a/..": ".", "/": "/"}
     got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", scalar.clean_path(F.col("p")).alias("c")).collect()
     assert {r["p"]: r["c"] for r in got} == paths
+
+
+def test_lookups_of_the_scenario(spark):
+    rows = [(i % 10, 1, i, 10 * i, 10, i, 10 * (i // 10)) for i in range(1000)]
+    probes = spark.createDataFrame([(i, 1, 10 * i) for i in range(1000)] + [(1000, 1, 10_000), (1001, 1, 10_003), (1002, 2, 0), (1003, 1, 37)], "probe_id long, fid long, off long")
+    got = {r["probe_id"]: (r["did"], r["physical_offset"], r["length"]) for r in names.small_lookup(spark.createDataFrame(rows, SMALL), probes).collect()}
+    assert all(got[i] == (i % 10, 10 * (i // 10), 10) for i in range(1000))
+    assert got[1000] == got[1001] == got[1002] == (-1, -1, 0) and got[1003] == (3, 7, 3)
+    cut = [*rows, (0, 1, 1000, 91, 0, 2000, -1), (3, 1, 1001, 200, 5, 2001, 777), (0, 1, 1002, 300, 0, 2002, -1)]
+    got = {r["probe_id"]: (r["did"], r["physical_offset"], r["length"]) for r in names.small_lookup(spark.createDataFrame(cut, SMALL), probes).collect()}
+    assert got[9] == (9, 0, 1) and got[10] == (-1, -1, 100) and got[20] == (3, 777, 5) and got[21] == (-1, -1, 90) and got[30] == (-1, -1, 0)
+
+
+def test_records_of_opened_files(spark):
+    log = [("d", 1, 0, 0, 1, 1, "a", None), ("d", 1, 32, 1, 2, 3, "a", None), ("d", 2, 64, 2, 3, 4, "a", "b"), ("d", 2, 96, 3, 4, 3, "b", None), ("d", 2, 128, 4, 5, 1, "c", None), ("d", 2, 160, 5, 6, 3, "c", None), ("d", 2, 192, 6, 7, 2, "c", None)]
+    index = [("d", 1, 32, 5), ("d", 2, 96, 6), ("d", 2, 160, 7), ("e", 1, 32, 8)]
+    found = names.index_of_names(names.replay(spark.createDataFrame(log, NAME_LOG)), spark.createDataFrame(index, "dir_id string, did long, fid long, off long"))
+    assert sorted((r["name"], r["did"], r["off"]) for r in found.collect()) == [("b", 1, 5), ("b", 2, 6)]
+
+
+def test_metalinks_strip_and_prefix(spark):
+    links = spark.createDataFrame([("/canonical/dir/x", "10/shadow"), ("/c/y", "2/gone"), ("/c/z", "12"), ("/c/\u00e9/w", "5/shadow"), ("/c/v", "/shadow")], "path string, text string")
+    known = spark.createDataFrame([("/shadow",), ("/other",)], "backend string")
+    got = {r["path"]: r["target"] for r in stat.resolve_metalinks(links, known).collect()}
+    assert got == {"/canonical/dir/x": "/shadow//dir/x", "/c/\u00e9/w": "/shadow//w", "/c/v": "/shadow//c/v"}  # lengths are in bytes
+
+
+def test_contents_behind_metalinks(spark):
+    frame = lambda rows: spark.createDataFrame([(r,) for r in rows], "path string")
+    entries = frame(["/a/f/dropping.index.1", "/a/f/other", "/b/f/s/dropping.data.2", "/b/g/dropping.data.3", "/c/f/s/t/dropping.data.4"])
+    links = spark.createDataFrame([("/a/f/s", "2/b"), ("/b/f/s/t", "2/c"), ("/a/f/gone", "2/b")], "path string, text string")
+    known = spark.createDataFrame([("/b",), ("/c",)], "backend string")
+    roots = spark.createDataFrame([("/a/f",)], "root string")
+    assert sorted(r["path"] for r in stat.collect_contents(entries, links, known, roots).collect()) == ["/a/f/dropping.index.1", "/a/f/other", "/b/f/s/dropping.data.2", "/c/f/s/t/dropping.data.4"]
+    assert sorted(r["path"] for r in stat.collect_contents(entries, links, known, roots, ("dropping.data.",), 1).collect()) == ["/b/f/s/dropping.data.2"]
+
+
+def test_filters_do_not_compare_their_last_byte(spark):
+    names_ = spark.createDataFrame([("d", n) for n in ("dropping.index.1", "dropping.indexes", "dropping.inde", "x")], "dir_id string, name string")
+    assert {r["name"] for r in stat.list_names(names_, ("dropping.index.",)).collect()} == {"dropping.index.1", "dropping.indexes"}
+
+
+def test_messages(spark):
+    lines = ["12:01  h.site.org tag fac WARN the  text ", "12:01 h tag fac WARN", "x h.y t f l m n", "12:01 h tag fac WARN "]
+    parsed = trace.messages(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert [r["line"] for r in trace.formatted(parsed, "dHm").collect()] == ["12:01 h the  text ", f"PARSE-ERR: {lines[1]}  ", f"INVALID-MSG: {lines[2]}x h m n", f"PARSE-ERR: {lines[3]}  "]
+
+
+def test_debug_streams_pass_by_their_bits(spark):
+    rows = spark.createDataFrame([(k, "a", 1 << k) for k in range(16, 23)] + [(99, "b", 1 << 22)], "id int, facility string, level int")
+    pass_ = lambda mask, default=None: {r["id"] for r in trace.log_filter(rows, spark.createDataFrame([("a", mask)], "facility string, mask long"), default).collect()}
+    assert pass_(0x50000) == {16, 18, 20, 21, 22} and pass_(0x200000) == {21, 22} and pass_(0x400000, 0x100000) == {22, 99}
+
+
+def test_bandwidth_is_the_sum_over_covered_bins(spark):
+    rng = random.Random(5)
+    rows = [(p, k, 0, rng.randrange(1, 10**6), b := rng.randrange(10**9), b + rng.randrange(1, 10**8)) for k, p in enumerate(range(200))]
+    frame = spark.createDataFrame(rows, "pid long, seq long, logical_offset long, length long, begin_us long, end_us long")
+    z, span = min(r[4] for r in rows), max(r[5] for r in rows) - min(r[4] for r in rows)
+    want = [0.0] * 50
+    for *_, n, b, e in rows:
+        first, spanned = (b - z) * 50 // span, -(-(e - b) * 50 // span)
+        for k in range(min(first, 49), min(first + spanned - 1, 49) + 1):
+            want[k] += n / ((e - b) / 1e6) / 1048576
+    assert [r["mib_s"] for r in trace.bandwidth_bins(frame, 50).orderBy("bin").collect()] == pytest.approx(want, abs=1e-4)

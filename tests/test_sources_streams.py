@@ -2,13 +2,14 @@
 
 import pytest
 
+from tidelog.operators import trace as traces
 from tidelog.operators.extents import resolve
 from tidelog.shipping import ship
 from tidelog.sources import logs
 from tidelog.streaming import streams
 
 LOG = "file_id string, pid long, seq long, logical_offset long, physical_offset long, length long, begin_us long, end_us long"
-ROWS = [("f", 1, 0, 0, 0, 10, 1, 1), ("f", 2, 1, 5, 0, 10, 2, 2), ("g", 1, 2, 0, 10, 4, 3, 3), ("f", 1, 3, 2, 14, 4, 0, 0)]
+ROWS = [("f", 1, 0, 0, 0, 10, 1, 1), ("e", 1, 9, 500, 0, 0, 1, 1), ("f", 2, 1, 5, 0, 10, 2, 2), ("g", 1, 2, 0, 10, 4, 3, 3), ("f", 1, 3, 2, 14, 4, 0, 0)]
 
 
 def test_binary_logs(spark, tmp_path):
@@ -29,6 +30,73 @@ def test_name_logs(spark, tmp_path):
     assert got == [(4, 0, 1, 5_000_007, "alpha", None), (4, len(first), 4, 6_000_000, "alpha", "beta")]
 
 
+def test_names_of_half_a_rename(spark, tmp_path):
+    ship(spark)
+    (tmp_path / "dropping.name.1").write_bytes(logs.encode_name(4, 1, "only"))
+    assert [(r["name"], r["name_to"]) for r in logs.read_name_logs(spark, str(tmp_path)).collect()] == [("only", None)]
+
+
+def test_small_logs(spark, tmp_path):
+    ship(spark)
+    rows = [(7, 0, 10, 1_000_005, 0), (8, 5, 4, 2_000_000, 10), (7, 6, 0, 3_000_000, -1)]
+    (tmp_path / "dropping.small.12").write_bytes(logs.encode_small_log(rows) + b"half")
+    got = [tuple(r[c] for c in ("did", "seq", "fid", "off", "length", "ts_us", "physical_offset")) for r in logs.read_small_logs(spark, str(tmp_path)).orderBy("seq").collect()]
+    assert got == [(12, k, *r) for k, r in enumerate(rows)]
+    assert [(r["seq"], r["fid"]) for r in logs.read_small_logs(spark, str(tmp_path), fids=(7,)).orderBy("seq").collect()] == [(0, 7), (2, 7)]
+
+
+def test_serial_trace(spark, tmp_path):
+    head = "# Index of file\n# 0 /store/hostdir.1/dropping.data.12.34.node.4711\n# 1 /store/hostdir.2/dropping.data.12.35.node.99\nID Logical_offset Length Begin_timestamp End_timestamp  Logical_tail ID.Chunk_offset \n"
+    (tmp_path / "a.txt").write_text(head + "0 w 0 10 0.5 1.5 9 [0.0]\n1 w 10 5 1.0 2.0 14 [1.0]\n5 w 20 1 1.0 2.0 20\n")
+    got = [(r["id"], r["pid"], r["offset"], r["end"]) for r in logs.read_serial_trace(spark, str(tmp_path / "a.txt")).orderBy("id").collect()]
+    assert got == [(0, 4711, 0, 1.5), (1, 99, 10, 2.0), (5, None, 20, 2.0)]
+
+
+TRACE = "pid long, seq long, logical_offset long, length long, begin_us long, end_us long"
+
+
+def test_report_and_its_reader(spark, tmp_path):
+    trace = spark.createDataFrame([(k % 20, k, 100 * k, 1 + k, 1000 * k, 1000 * k + 50 * (k + 1)) for k in range(60)], TRACE)
+    logs.write_report(trace, str(tmp_path / "report"), 10)
+    key = lambda rows: sorted((r["section"], r["idx"], round(r["value"], 4)) for r in rows)
+    again = logs.read_report(spark, str(tmp_path / "report"))
+    assert key(again.collect()) == key(traces.report(trace, 10).collect()) and again.count() == 6 + 30 + 51
+    assert [round(r["start_s"], 6) for r in logs.bin_starts(again).orderBy("idx").collect()][:2] == [0.0, 0.0062]
+
+
+def test_triples(spark, tmp_path):
+    ship(spark)
+    (tmp_path / "q").write_bytes(logs.encode_triples([(1, 0, 9), (0, 0, 0), (2, 10, 14)]) + b"half")
+    (tmp_path / "d").write_bytes(logs.encode_triples([(1.0, 0.5, 9.25)], "d"))
+    assert [tuple(r) for r in logs.read_triples(spark, str(tmp_path / "q")).orderBy("id").collect()] == [(1, 0, 9), (2, 10, 14)]
+    assert [tuple(r) for r in logs.read_triples(spark, str(tmp_path / "d"), "d").collect()] == [(1.0, 0.5, 9.25)]
+
+
+def test_transfer_of_one_writer(spark, tmp_path):
+    folder = tmp_path / "burst" / "hostdir.3"
+    folder.mkdir(parents=True)
+    for name in ("dropping.index.1.2.n.7", "dropping.data.1.2.n.7", "dropping.data.1.2.n.17", "meta.7"):
+        (folder / name).write_bytes(name.encode())
+    logs.transfer(spark, str(tmp_path / "burst"), str(tmp_path / "store"), 7)
+    out = {p.name: p.read_bytes() for p in (tmp_path / "store" / "hostdir.3").glob("dropping*")}
+    assert out == {n: n.encode() for n in ("dropping.index.1.2.n.7", "dropping.data.1.2.n.7")}
+
+
+def test_appending_and_extending(spark, tmp_path):
+    rows = [("f", 1, 0, 0, 0, 10, 1, 1), ("f", 1, 1, 10, 10, 5, 2, 2), ("f", 1, 2, 40, 15, 5, 3, 3)]
+    frame = spark.createDataFrame(rows, LOG)
+    for path, extend, want in (("plain", False, 3), ("joined", True, 2)):
+        logs.append_log(frame, str(tmp_path / path), extend)
+        got = spark.read.parquet(str(tmp_path / path))
+        assert got.columns == frame.columns and got.count() == want
+    assert [(r["logical_offset"], r["length"], r["seq"]) for r in got.orderBy("seq").collect()] == [(0, 15, 0), (40, 5, 2)]
+
+
+def test_newest_record_at_each_offset(spark):
+    rows = [("f", 1, 0, 0, 0, 10, 1, 5), ("f", 2, 1, 0, 0, 4, 2, 9), ("f", 2, 2, 8, 0, 4, 2, 1)]
+    assert {(r["logical_offset"], r["seq"], r["length"]) for r in streams.newest_by_offset(spark.createDataFrame(rows, LOG)).collect()} == {(0, 1, 4), (8, 2, 4)}
+
+
 def test_text_trace(spark, tmp_path):
     (tmp_path / "t.txt").write_text("# id io offset length begin end tail\n1 w 0 10 0.5 1.5 9\n\n2 w 10 5 1.0 2.0 14\n")
     assert [tuple(r) for r in logs.read_text_trace(spark, str(tmp_path / "t.txt")).orderBy("id").collect()] == [(1, "w", 0, 10, 0.5, 1.5, 9), (2, "w", 10, 5, 1.0, 2.0, 14)]
@@ -55,7 +123,9 @@ def test_map_of_a_stream(spark, tmp_path):
     last = query.lastProgress["batchId"]
     got = streams.read_map(spark, str(tmp_path / "map"), last)
     bytes_of = lambda df: {(r["file_id"], r["logical_offset"] + k): (r["pid"], r["seq"], r["physical_offset"] + k) for r in df.collect() for k in range(r["length"])}
-    assert bytes_of(got) == bytes_of(resolve(spark.createDataFrame(ROWS, LOG)))
+    assert bytes_of(got) == bytes_of(resolve(spark.createDataFrame(ROWS, LOG))) == bytes_of(streams.read_map(spark, str(tmp_path / "map")))
+    assert bytes_of(streams.read_map(spark, str(tmp_path / "map"), last - 1)) == bytes_of(resolve(spark.createDataFrame(ROWS[:-1], LOG)))
+    assert {r["file_id"]: r["eof"] for r in streams.read_ends(spark, str(tmp_path / "map")).collect()} == {"f": 15, "g": 4, "e": 500}
 
 
 def test_running_sizes_and_windows(spark, tmp_path):
@@ -63,8 +133,8 @@ def test_running_sizes_and_windows(spark, tmp_path):
     stream = spark.readStream.schema(LOG).parquet(str(tmp_path / "in"))
     for frame, name, mode in ((streams.running_eof(stream), "sizes", "complete"), (streams.bandwidth_windows(stream), "windows", "complete")):
         frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    assert {r["file_id"]: r["eof"] for r in spark.table("sizes").collect()} == {"f": 15, "g": 4}
-    assert [(r["bytes"], r["records"]) for r in spark.table("windows").collect()] == [(28, 4)]
+    assert {r["file_id"]: r["eof"] for r in spark.table("sizes").collect()} == {"f": 15, "g": 4, "e": 500}
+    assert [(r["bytes"], r["records"]) for r in spark.table("windows").collect()] == [(28, 5)]
 
 
 def test_recent_messages(spark, tmp_path):

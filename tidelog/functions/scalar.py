@@ -105,4 +105,4 @@ META_NAME = r"^(\d+)\.(\d+)\.(\d+)\.(\d+)\.(.+)$"
 OPEN_NAME = r"^open\.(.+)\.(\d+)$"
 INDEX_NAME = r"dropping\.index\.(\d+)\.(\d+)\.(.+)\.(\d+)$"
 SUMMARY_NAME = r"SZ:(\d+)\.BL:(\d+)\.OT:(\d+)\.CT:(\d+)\.BW:([\d.]+)\.IN:(\w+)\.NP:(\d+)\.HO:(.+)\.UI:(\d+)\.PA:(.+)$"
-METALINK = r"^(\d+)(.*)$"
+METALINK = r"^(\d*)(\D.*)$"

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.ranks import prefix_sum
-
-#: Bytes of a tile: records meet only inside tiles of a file. About the 95th percentile of record lengths or more.
-TILE = 1 << 16
+from tidelog.operators.ranks import prefix_sum, prefix_sums, runs
+from tidelog.operators.sweep import folded, thinned
+from tidelog.shipping import ship
+
+#: Bytes of a tile: records meet only inside tiles of a file.
+TILE = 1 << 18
+#: Levels of cells, as powers of two: an extent lies in cells of the least level that is not shorter than it.
+LEVELS = (12, 16, 20, 24, 28, 32)
 #: Newest first: later end, then later begin, then higher writer, then later record.
 RECENT = ("end_us", "begin_us", "pid", "seq")
 
@@ -26,32 +30,49 @@ def tiled(df: DataFrame, lo: str = "lo", hi: str = "hi", tile: int = TILE) -> Da
 
 
 def islands(df: DataFrame, keys: list[str], follows: str, order: str = "lo") -> DataFrame:
-    """df with island: a number that rises, within keys and by order, wherever `follows` (of the row before) fails."""
+    """df with island: a number that rises, within keys and by order, wherever `follows` (of the row before) fails.
+    The window is over one record's pieces or one probe's finds; ranks.runs is for groups that grow."""
     part = f"(partition by {', '.join(keys)} order by {order})"
     marked = df.selectExpr("*", f"case when {follows.format(w=part)} then 0 else 1 end as _new")
     return marked.selectExpr("*", f"sum(_new) over (partition by {', '.join(keys)} order by {order} rows between unbounded preceding and current row) as island").drop("_new")
 
 
+def settled(parts: DataFrame, key: str, recent: tuple[str, ...]) -> DataFrame:
+    """The stretches that each of the parts (key, tile, lo, hi, base, physical_offset, recency columns) owns in its tile.
+    One shuffle by (key, tile), after batches are reduced where many records share a tile."""
+    ship(parts.sparkSession)
+    keys, order = [key, "tile"], (*recent, "base", "physical_offset")
+    few = parts.mapInPandas(thinned(keys, order), parts.schema)
+    return few.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(folded(keys, order), parts.schema)
+
+
+def swept(spans: DataFrame, key: str, recent: tuple[str, ...], tile: int = TILE) -> DataFrame:
+    """The stretches that each of the spans (key, lo, hi, ...) owns, cut at tiles, with the tile."""
+    return settled(tiled(spans, tile=tile), key, recent)
+
+
+def joined(pieces: DataFrame, key: str, recent: tuple[str, ...], record: tuple[str, ...]) -> DataFrame:
+    """Pieces of one record that touch put together, by a window over that record alone: (key, lo, hi, ...)."""
+    ran = islands(pieces, [key, *record], "lag(hi) over {w} = lo")
+    return ran.groupBy(key, *recent, "island", "base", "physical_offset").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("island")
+
+
+def spans_of(log: DataFrame) -> DataFrame:
+    return log.where("length > 0").selectExpr("file_id", "logical_offset as lo", "logical_offset + length as hi", "logical_offset as base", "physical_offset", *RECENT)
+
+
+def mapped(whole: DataFrame) -> DataFrame:
+    """Joined pieces in the columns of a map."""
+    return whole.selectExpr("file_id", "lo as logical_offset", "hi - lo as length", "pid", "seq", "physical_offset + lo - base as physical_offset", "begin_us", "end_us")
+
+
 def resolve(log: DataFrame, tile: int = TILE) -> DataFrame:
     """The newest-wins map of a write log: pieces of records that no newer record covers, each as long as it can be.
 
     Columns file_id, logical_offset, length, pid, seq, physical_offset, begin_us, end_us. Zero-length records count for
-    the end of file only and own nothing. Within a tile of a file, the distinct ends cut the bytes into segments, each
-    segment meets the records over it in an equi-join on (file, tile), and a map-side aggregate keeps the newest; pieces
-    of one record that touch are put together again by a window over that record alone.
+    the end of file only and own nothing. Tiles are swept in n log n steps however many records share one.
     """
-    spans = log.where("length > 0").selectExpr("file_id", "logical_offset as lo", "logical_offset + length as hi", "logical_offset as base", "physical_offset", *RECENT)
-    parts = tiled(spans, tile=tile)
-    cuts = parts.select("file_id", "tile", F.explode(F.array("lo", "hi")).alias("p")).distinct()
-    segments = cuts.selectExpr("file_id", "tile", "p as s", "lead(p) over (partition by file_id, tile order by p) as e").where("e is not null")
-    over = segments.join(parts, ["file_id", "tile"]).where("lo <= s and s < hi")
-    won = over.groupBy("file_id", "tile", "s", "e").agg(F.max(F.struct(*RECENT, "base", "physical_offset")).alias("w")).select("file_id", F.col("s").alias("lo"), F.col("e").alias("hi"), "w.*")
-    runs = islands(won, ["file_id", "pid", "seq"], "lag(hi) over {w} = lo")
-    return (
-        runs.groupBy("file_id", "pid", "seq", "island", "base", "physical_offset", "begin_us", "end_us")
-        .agg(F.min("lo").alias("logical_offset"), F.max("hi").alias("hi"))
-        .selectExpr("file_id", "logical_offset", "hi - logical_offset as length", "pid", "seq", "physical_offset + logical_offset - base as physical_offset", "begin_us", "end_us")
-    )
+    return mapped(joined(swept(spans_of(log), "file_id", RECENT, tile), "file_id", RECENT, ("pid", "seq")))
 
 
 def merge(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -75,29 +96,27 @@ def neighbours(df: DataFrame, tile: int = TILE) -> DataFrame:
 
 def holes(extents: DataFrame) -> DataFrame:
     """(file_id, hole_offset, hole_length): gaps between extents, and before a file's first."""
-    near = neighbours(extents)
-    inner = near.selectExpr("file_id", "logical_offset + length as hole_offset", "next_offset - logical_offset - length as hole_length").where("hole_length > 0")
-    leading = near.where("prev_end is null and logical_offset > 0").selectExpr("file_id", "0L as hole_offset", "logical_offset as hole_length")
-    return inner.union(leading)
+    return completed(extents).where("hole").selectExpr("file_id", "logical_offset as hole_offset", "length as hole_length")
 
 
 def coalesce(extents: DataFrame) -> DataFrame:
     """Extents joined where one follows another in the file and in its writer's data.
 
-    A chain is the run of pieces of one writer with the same distance between file and data; windows are over
-    (file, writer, distance), which grow only as far as a writer's contiguous stream does.
+    A chain is the run of pieces of one writer with the same distance between file and data; windows are over 64 MB of a
+    chain, and small tables carry over.
     """
-    chains = extents.selectExpr("*", "logical_offset - physical_offset as _d")
-    runs = islands(chains, ["file_id", "pid", "_d"], "lag(logical_offset + length) over {w} = logical_offset", "logical_offset")
-    return runs.groupBy("file_id", "pid", "_d", "island").agg(
+    chains = extents.selectExpr("*", "logical_offset - physical_offset as _d", f"logical_offset div {1 << 26} as _b")
+    ran = runs(chains, ["file_id", "pid", "_d"], "_b", ["logical_offset"], {"_stop": "logical_offset + length"}, "_stop = logical_offset")
+    return ran.groupBy("file_id", "pid", "_d", "island").agg(
         F.min("logical_offset").alias("logical_offset"), F.sum("length").alias("length"), F.min("physical_offset").alias("physical_offset"), F.min("begin_us").alias("begin_us"), F.max("end_us").alias("end_us"), F.count("*").alias("pieces")
     ).drop("_d", "island")
 
 
 def contiguous_writes(log: DataFrame) -> DataFrame:
     """Write-time extension: a writer's record that starts where its last one ended prolongs it, whatever its data."""
-    runs = islands(log, ["file_id", "pid"], "lag(logical_offset + length) over {w} = logical_offset", "seq")
-    return runs.groupBy("file_id", "pid", "island").agg(
+    cut = log.withColumn("_b", F.expr("seq div 65536"))
+    ran = runs(cut, ["file_id", "pid"], "_b", ["seq"], {"_stop": "logical_offset + length"}, "_stop = logical_offset")
+    return ran.groupBy("file_id", "pid", "island").agg(
         F.min("logical_offset").alias("logical_offset"), F.sum("length").alias("length"), F.min("physical_offset").alias("physical_offset"), F.min("begin_us").alias("begin_us"), F.max("end_us").alias("end_us"), F.count("*").alias("records")
     ).drop("island")
 
@@ -123,28 +142,37 @@ def completed(extents: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     return rows.union(empty.selectExpr("file_id", "true", "0L", "eof", "cast(null as bigint)", "cast(null as bigint)"))
 
 
-def range_query(extents: DataFrame, probes: DataFrame, tile: int = TILE, stats: DataFrame | None = None) -> DataFrame:
+def celled(df: DataFrame, lo: str, hi: str) -> DataFrame:
+    """df with a row for each cell (level, cell) that [lo, hi) lies in: cells of the level of its length, two at most."""
+    level = f"case {' '.join(f'when {hi} - {lo} <= {1 << k}L then {k}' for k in LEVELS[:-1])} else {LEVELS[-1]} end"
+    return df.selectExpr("*", f"{level} as level").selectExpr("*", f"explode(sequence(shiftright({lo}, level), shiftright({hi} - 1, level))) as cell")
+
+
+def range_query(extents: DataFrame, probes: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """What each probe (probe_id, file_id, offset, length) reads: records in order, holes included, up to the end of
     file if file_stats() are given.
 
-    Columns probe_id, file_id, hole, logical_offset, length, pid, chunk_offset, last_record. Extents with holes and
-    probes meet in an equi-join on (file, tile); pieces that a tile cut are put together by a window over one probe.
+    Columns probe_id, file_id, hole, logical_offset, length, pid, chunk_offset, last_record. Extents with holes lie in
+    cells of about their own length, and a probe asks the cells of every level that it meets. Extents do not overlap, so
+    few of them share a cell, and a probe is compared with little more than it finds; a find counts in the first cell
+    that both are in.
     """
-    cells = tiled(completed(extents, stats).selectExpr("*", "logical_offset as lo", "logical_offset + length as hi"), tile=tile)
-    asked = tiled(probes.where("length > 0").selectExpr("probe_id", "file_id", "offset as plo", "offset + length as phi"), "plo", "phi", tile)
-    met = cells.join(asked, ["file_id", "tile"]).where("lo < phi and plo < hi").selectExpr("probe_id", "file_id", "hole", "logical_offset", "pid", "physical_offset", "greatest(lo, plo) as a", "least(hi, phi) as b")
-    whole = met.groupBy("probe_id", "file_id", "hole", "logical_offset", "pid", "physical_offset").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return whole.selectExpr(
-        "probe_id", "file_id", "hole", "a as logical_offset", "b - a as length", "pid", "physical_offset + a - logical_offset as chunk_offset", "lead(a) over (partition by probe_id order by a) is null as last_record"
-    )
+    cells = celled(completed(extents, stats).selectExpr("*", "logical_offset as lo", "logical_offset + length as hi"), "lo", "hi")
+    asked = probes.where("length > 0").selectExpr("probe_id", "file_id", "offset as plo", "offset + length as phi", f"explode(array({', '.join(map(str, LEVELS))})) as level")
+    asked = asked.selectExpr("*", "explode(sequence(shiftright(plo, level), shiftright(phi - 1, level))) as cell")
+    met = cells.join(asked, ["file_id", "level", "cell"]).where("lo < phi and plo < hi and cell = shiftright(greatest(lo, plo), level)")
+    return met.selectExpr(
+        "probe_id", "file_id", "hole", "greatest(lo, plo) as logical_offset", "least(hi, phi) - greatest(lo, plo) as length", "pid", "physical_offset + greatest(lo, plo) - lo as chunk_offset",
+        "lead(lo) over (partition by probe_id order by lo) is null as last_record",
+    )
 
 
 def read_tasks(found: DataFrame) -> DataFrame:
     """Range-query records whose data follow one another in the same writer's log, as one read each; holes join too."""
     part = ["probe_id", "file_id"]
     follows = "lag(logical_offset + length) over {w} = logical_offset and lag(hole) over {w} = hole and (hole or (lag(pid) over {w} = pid and lag(chunk_offset + length) over {w} = chunk_offset))"
-    runs = islands(found, part, follows, "logical_offset")
-    return runs.groupBy(*part, "island").agg(F.first("hole").alias("hole"), F.min("logical_offset").alias("logical_offset"), F.sum("length").alias("length"), F.min("pid").alias("pid"), F.min("chunk_offset").alias("chunk_offset"), F.count("*").alias("records")).drop("island")
+    ran = islands(found, part, follows, "logical_offset")
+    return ran.groupBy(*part, "island").agg(F.first("hole").alias("hole"), F.min("logical_offset").alias("logical_offset"), F.sum("length").alias("length"), F.min("pid").alias("pid"), F.min("chunk_offset").alias("chunk_offset"), F.count("*").alias("records")).drop("island")
 
 
 def data_paths(found: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -189,10 +217,22 @@ def only_writer(log: DataFrame, pid: int) -> DataFrame:
     return resolve(log.where(F.col("pid") == pid))
 
 
-def overlaps(log: DataFrame, tile: int = TILE) -> DataFrame:
-    """Per record, how many others of its file it shares bytes with. Pairs meet in the tile of their common start."""
-    parts = tiled(log.where("length > 0").selectExpr("file_id", "pid", "seq", "logical_offset", "logical_offset as lo", "logical_offset + length as hi"), tile=tile)
-    a, b = parts.alias("a"), parts.alias("b")
-    pairs = a.join(b, ["file_id", "tile"]).where("a.seq <> b.seq and a.lo < b.hi and b.lo < a.hi").where(F.expr(f"cast(floor(greatest(a.logical_offset, b.logical_offset) / {tile}) as bigint) = tile"))
-    counts = pairs.groupBy("file_id", F.col("a.seq").alias("seq")).agg(F.count("*").alias("n"))
-    return log.where("length > 0").select("file_id", "seq").join(counts, ["file_id", "seq"], "left").select("file_id", "seq", F.coalesce("n", F.lit(0)).cast("long").alias("overlapping"))
+def grown(log: DataFrame, size: int) -> DataFrame:
+    """log with an empty record at `size` for each file that ends before it, which moves the end of file there. Its
+    writer is -1; it is the file's newest record and its seq follows the file's last."""
+    short = log.groupBy("file_id").agg(F.max(F.expr("logical_offset + length")).alias("eof"), F.max("seq").alias("seq"), F.max("end_us").alias("t")).where(F.col("eof") < size)
+    made = short.select("file_id", F.lit(-1).cast("long").alias("pid"), (F.col("seq") + 1).alias("seq"), F.lit(size).cast("long").alias("logical_offset"), F.lit(0).cast("long").alias("physical_offset"), F.lit(0).cast("long").alias("length"), F.col("t").alias("begin_us"), F.col("t").alias("end_us"))
+    return log.select(*made.columns).union(made)
+
+
+def overlaps(log: DataFrame) -> DataFrame:
+    """Per record, how many others of its file it shares bytes with.
+
+    Those are the records that start before its end, less those that end by its start, and itself: two ranks in the
+    order of all starts and ends, so no pair is ever formed.
+    """
+    real = log.where("length > 0").selectExpr("file_id", "seq", "logical_offset as lo", "logical_offset + length as hi")
+    # at the same byte, ends and what asks for starts come first
+    ends = real.selectExpr("file_id", "seq", "explode(array(struct(lo as at, 1 as late), struct(hi as at, 0 as late))) as e").selectExpr("file_id", "seq", "e.at", "e.late", f"e.at div {TILE} as _b")
+    ranked = prefix_sums(ends, ["file_id"], "_b", ["at", "late"], {"starts": "cast(late as bigint)", "stops": "1L - late"})
+    return ranked.groupBy("file_id", "seq").agg(F.sum(F.expr("case when late = 0 then starts - 1 else - stops end")).cast("long").alias("overlapping"))

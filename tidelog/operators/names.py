@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.operators.extents import TILE, islands, tiled
+from tidelog.operators.extents import TILE, joined, stab_lookup, swept
 
 # Operations of the name log.
 CREATE, DELETE, OPEN, RENAME, UTIME = 1, 2, 3, 4, 5
@@ -65,33 +65,51 @@ def index_of_names(current: DataFrame, index: DataFrame) -> DataFrame:
     return index.join(pairs, ["dir_id", "did", "fid"])
 
 
-def cuts(index: DataFrame, keys: list[str]) -> DataFrame:
-    """Writes with the least offset that a later truncate of their file cut at (null: none), and the truncates so too."""
+def cuts(index: DataFrame, key: str = "fid") -> DataFrame:
+    """Writes with the least offset that a later truncate of their file cut at (null: none), and the truncates so too.
+
+    Windows are over some 70 minutes of a file; a small table of each such bucket's least cut carries back in time.
+    """
+    cut = "case when physical_offset = -1 then off end"
+    marked = index.withColumn("_b", F.shiftright("ts_us", 32))
+    least = marked.groupBy(key, "_b").agg(F.min(F.expr(cut)).alias("m"))
+    later = least.selectExpr(f"{key} as _k", "_b as _kb", f"min(m) over (partition by {key} order by _b desc rows between unbounded preceding and 1 preceding) as _later")
     # newest first, so that the frame grows with the rows instead of being scanned anew for each
-    w = f"(partition by {', '.join(keys)} order by ts_us desc, did desc, seq desc rows between unbounded preceding and 1 preceding)"
-    return index.selectExpr("*", f"min(case when physical_offset = -1 then off end) over {w} as later_cut")
+    inner = marked.selectExpr("*", f"min({cut}) over (partition by {key}, _b order by ts_us desc, did desc, seq desc rows between unbounded preceding and 1 preceding) as _own")
+    both = inner.join(later, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_kb")))
+    return both.withColumn("later_cut", F.least("_own", "_later")).drop("_b", "_k", "_kb", "_own", "_later")
 
 
-def truncate_clip(index: DataFrame, keys: tuple[str, ...] = ("fid",)) -> DataFrame:
+def truncate_clip(index: DataFrame) -> DataFrame:
     """Writes cut to what later truncates leave of them; nothing left, no row."""
-    return cuts(index, list(keys)).where("physical_offset <> -1 and length > 0").selectExpr("*", "least(off + length, coalesce(later_cut, off + length)) - off as kept").where("kept > 0").drop("length", "later_cut").withColumnRenamed("kept", "length")
+    return cuts(index).where("physical_offset <> -1 and length > 0").selectExpr("*", "least(off + length, coalesce(later_cut, off + length)) - off as kept").where("kept > 0").drop("length", "later_cut").withColumnRenamed("kept", "length")
 
 
 def small_extents(index: DataFrame, tile: int = TILE) -> DataFrame:
     """Newest-wins map of small files: (fid, off, length, did, seq, physical_offset), time order, truncates applied."""
-    spans = truncate_clip(index).selectExpr("fid", "off as lo", "off + length as hi", "off as base", "physical_offset", "ts_us", "did", "seq")
-    parts = tiled(spans, tile=tile)
-    points = parts.select("fid", "tile", F.explode(F.array("lo", "hi")).alias("p")).distinct()
-    segments = points.selectExpr("fid", "tile", "p as s", "lead(p) over (partition by fid, tile order by p) as e").where("e is not null")
-    won = segments.join(parts, ["fid", "tile"]).where("lo <= s and s < hi").groupBy("fid", "tile", "s", "e").agg(F.max(F.struct("ts_us", "did", "seq", "base", "physical_offset")).alias("w")).select("fid", F.col("s").alias("lo"), F.col("e").alias("hi"), "w.*")
-    runs = islands(won, ["fid", "did", "seq"], "lag(hi) over {w} = lo")
-    return runs.groupBy("fid", "did", "seq", "island", "base", "physical_offset").agg(F.min("lo").alias("off"), F.max("hi").alias("hi")).selectExpr("fid", "off", "hi - off as length", "did", "seq", "physical_offset + off - base as physical_offset")
+    recent = ("ts_us", "did", "seq")
+    spans = truncate_clip(index).selectExpr("fid", "off as lo", "off + length as hi", "off as base", "physical_offset", *recent)
+    whole = joined(swept(spans, "fid", recent, tile), "fid", recent, ("did", "seq"))
+    return whole.selectExpr("fid", "lo as off", "hi - lo as length", "did", "seq", "physical_offset + lo - base as physical_offset")
 
 
 def small_size(index: DataFrame) -> DataFrame:
     """File sizes: the furthest end of what is left of writes, or truncate that no later one went below."""
-    seen = cuts(index, ["fid"])
+    seen = cuts(index)
     ends = seen.selectExpr(
         "fid", "case when physical_offset = -1 then case when later_cut is null or later_cut >= off then off end when length > 0 and least(off + length, coalesce(later_cut, off + length)) > off then least(off + length, coalesce(later_cut, off + length)) end as e"
     )
     return ends.groupBy("fid").agg(F.coalesce(F.max("e"), F.lit(0)).cast("long").alias("size"))
+
+
+def small_lookup(index: DataFrame, probes: DataFrame) -> DataFrame:
+    """What holds the byte at each probe (probe_id, fid, off): (probe_id, fid, off, did, physical_offset, length).
+
+    The newest write over it and how far its data goes on; in a hole did and physical_offset are -1 and length leads to
+    the next data or, behind the last data, to the end of file; from the end of file on length is 0. Truncates count by
+    what they leave, never as data.
+    """
+    held = small_extents(index).selectExpr("fid as file_id", "off as logical_offset", "length", "did as pid", "physical_offset")
+    ends = small_size(index).join(held.groupBy(F.col("file_id").alias("fid")).agg(F.sum("length").alias("b")), "fid", "left").selectExpr("fid as file_id", "size as eof", "coalesce(b, 0L) as backing_bytes")
+    found = stab_lookup(held, probes.selectExpr("probe_id", "fid as file_id", "off as offset"), stats=ends)
+    return found.selectExpr("probe_id", "file_id as fid", "offset as off", "coalesce(pid, -1L) as did", "coalesce(chunk_offset, -1L) as physical_offset", "coalesce(run, 0L) as length")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import scalar
@@ -99,9 +99,46 @@ def users(handles: DataFrame) -> DataFrame:
 
 
 def resolve_metalinks(links: DataFrame, backends: DataFrame) -> DataFrame:
-    """(name, target): a link's text is the length of a backend's prefix and the rest of the path. backends (idx, prefix)."""
-    parsed = links.select("name", scalar.name_part(F.col("text"), r"^(\d+)(/.*)$", 1).cast("long").alias("idx"), scalar.name_part(F.col("text"), r"^(\d+)(/.*)$", 2).alias("rest"))
-    return parsed.join(backends, "idx").select("name", F.concat("prefix", "rest").alias("target"))
+    """(path, target) of links (path, text): the text's number is how many bytes of the path to strip, the rest names the
+    backend (backends: backend) whose path goes in front. Without a
+    number nothing is stripped. Other texts, and backends that are not known, give no row."""
+    part = lambda k: scalar.name_part(F.col("text"), scalar.METALINK, k)
+    parsed = links.where(F.col("text").rlike(scalar.METALINK)).select("path", F.when(part(1) == "", F.lit(0)).otherwise(part(1).try_cast("int")).alias("strip"), part(2).alias("backend"))
+    return parsed.join(backends.select("backend").distinct(), "backend").selectExpr("path", "concat(backend, '/', decode(substring(encode(path, 'utf-8'), strip + 1), 'utf-8')) as target")
+
+
+def under(entries: DataFrame, folders: DataFrame) -> DataFrame:
+    """Entries (path, ...) below the folders (folder, ...), with the folder's columns. Joins on each path's own prefixes."""
+    parts = F.split("path", "/+")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    return entries.where("path like '%/%'").withColumn("folder", F.explode(above)).join(folders.withColumn("folder", F.regexp_replace(F.regexp_replace("folder", "/+", "/"), "(?<=.)/$", "")), "folder")
+
+
+def collect_contents(entries: DataFrame, links: DataFrame, backends: DataFrame, roots: DataFrame, prefixes: tuple[str, ...] = (), hops: int = 2) -> DataFrame:
+    """(root, path): the files (entries: path) below each root folder (roots: root) and below what its metalinks
+    (links: path, text) lead to, `hops` links deep; a link to a folder that is not there adds nothing. With prefixes,
+    only files whose names pass them."""
+    folders = roots.selectExpr("root", "root as folder")
+    found, resolved = under(entries, folders), resolve_metalinks(links, backends)
+    for _ in range(hops):
+        folders = under(resolved, folders).selectExpr("root", "target as folder").distinct()
+        found = found.unionByName(under(entries, folders))
+    out = found.select("root", "path").distinct()
+    return out.where(passes(F.substring_index("path", "/", -1), prefixes)) if prefixes else out
+
+
+def passes(name: Column, prefixes: tuple[str, ...]) -> Column:
+    """Whether a name passes a listing's filters. The last byte of a filter is not compared."""
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | F.startswith(name, F.lit(p[:-1]))
+    return out
+
+
+def writer_droppings(names: DataFrame, pid: int) -> DataFrame:
+    """The names (path) of one writer's index and data logs, which a burst transfer moves."""
+    name = F.substring_index("path", "/", -1)
+    return names.where(passes(name, ("dropping.index.", "dropping.data.")) & (scalar.name_part(name, r"\.(\d+)$", 1) == str(pid)))
 
 
 def mount_of(paths: DataFrame, mounts: DataFrame) -> DataFrame:
@@ -112,6 +149,13 @@ def mount_of(paths: DataFrame, mounts: DataFrame) -> DataFrame:
     return best.select("path", "m.mount", "m.backend")
 
 
-def list_names(listings: DataFrame) -> DataFrame:
-    """Distinct names over all backends (dir_id, name)."""
-    return listings.select("dir_id", "name").distinct()
+def list_names(listings: DataFrame, prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct names over all backends (dir_id, name); with prefixes, those that pass one of them."""
+    kept = listings.where(passes(F.col("name"), prefixes)) if prefixes else listings
+    return kept.select("dir_id", "name").distinct()
+
+
+def xattrs(kept: DataFrame) -> DataFrame:
+    """(file_id, attributes): a map of each file's attributes from (file_id, k, v); of several values the greatest."""
+    last = kept.groupBy("file_id", "k").agg(F.max("v").alias("v"))
+    return last.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("attributes"))

@@ -9,6 +9,8 @@ from tidelog.functions.scalar import log2_bucket, log2_bucket_serial
 from tidelog.operators.ranks import prefix_sum
 
 BINS, SIZE_BUCKETS = 500, 51
+# Fixed value: the least message level that is no debug stream.
+INFO = 0x00100000
 
 
 def valid(trace: DataFrame) -> DataFrame:
@@ -35,6 +37,30 @@ def writer_end(trace: DataFrame) -> DataFrame:
     return trace.groupBy("pid").agg(F.max("end_us").alias("end_us"))
 
 
+def offset_triples(trace: DataFrame) -> DataFrame:
+    """(id, beg, end): every record's writer with its first and last byte, as the report's binary files hold them."""
+    return trace.selectExpr("pid as id", "logical_offset as beg", "logical_offset + length - 1 as end")
+
+
+def time_triples(trace: DataFrame, k: float = 1.0, few: int = 16) -> DataFrame:
+    """(id, beg, end) in seconds of the records of outlying writers; of all, if there are `few` writers or less."""
+    sides = writer_end(trace).crossJoin(F.broadcast(trace.agg(F.countDistinct("pid").alias("n")))).where(f"n <= {few}").select("pid").unionByName(stragglers(trace, k, few).select("pid")).distinct()
+    return trace.join(sides, "pid", "left_semi").selectExpr("cast(pid as double) as id", "begin_us / 1e6D as beg", "end_us / 1e6D as end")
+
+
+def report(trace: DataFrame, bins: int = BINS) -> DataFrame:
+    """(section, idx, value): the sections of a trace's report. head has the number of bins, the first begin, the mean
+    last end, a bin's width (seconds), and how many writers end late and early; then bandwidths, records in flight and
+    finished by bin, and the size histogram."""
+    own = bounds(trace).crossJoin(F.broadcast(straggler_counts(trace)))  # a row each
+    head = own.selectExpr(f"posexplode(array({bins}D, min_begin_us / 1e6D, sum_end_us / writers / 1e6D, (max_end_us - min_begin_us) / {bins} / 1e6D, cast(above as double), cast(below as double))) as (idx, value)")
+    parts = [("bandwidth", bandwidth_bins(trace, bins), "bin", "mib_s"), ("running", ios_running(trace, bins), "bin", "running"), ("finished", ios_finished(trace, bins), "bin", "finished"), ("sizes", size_histogram(trace), "bucket", "records")]
+    out = head.selectExpr("'head' as section", "idx", "value")
+    for name, found, at, value in parts:
+        out = out.union(found.selectExpr(f"'{name}'", f"cast({at} as int)", f"cast({value} as double)"))
+    return out
+
+
 def writer_spans(trace: DataFrame) -> DataFrame:
     """Each writer's first begin and last end in seconds after the trace's first begin."""
     start = trace.agg(F.min("begin_us").alias("z"))
@@ -77,11 +103,6 @@ def spread(trace: DataFrame, bins: int = BINS) -> DataFrame:
     )
 
 
-def covered(trace: DataFrame, bins: int = BINS) -> DataFrame:
-    """A row for each bin that a record covers; bins past the end count in the last one."""
-    return spread(trace, bins).selectExpr("*", f"explode(sequence(least(first_bin, {bins - 1}L), least(first_bin + spanned - 1, {bins - 1}L))) as bin")
-
-
 def dense(found: DataFrame, bins: int, name: str = "bin") -> DataFrame:
     """found with a row for every bin; absent numbers are 0."""
     every = found.sparkSession.range(bins).withColumnRenamed("id", name)
@@ -90,12 +111,20 @@ def dense(found: DataFrame, bins: int, name: str = "bin") -> DataFrame:
 
 
 def bandwidth_bins(trace: DataFrame, bins: int = BINS, fractional: bool = False) -> DataFrame:
-    """MiB/s that the records over each bin add up to. fractional: weighted by the part of a bin that a duration leaves."""
+    """MiB/s that the records over each bin add up to; bins past the end count in the last one. fractional: weighted by
+    the part of a bin that a duration leaves.
+
+    A record's rate is the same in all its bins, so it is added where it starts and taken off behind where it ends, as
+    exact decimals, and a running sum over the bins does the rest: two rows a record, whatever it spans.
+    """
     rate = "length / ((end_us - begin_us) / 1e6D) / 1048576D"
     if fractional:
         rate += f" * (((end_us - begin_us) * {bins} % span) / cast(span as double))"
-    sums = covered(trace, bins).groupBy("bin").agg(F.round(F.sum(F.expr(rate)), 4).alias("mib_s"))
-    return dense(sums, bins).select("bin", F.col("mib_s").cast("double").alias("mib_s"))
+    last = f"{bins - 1}L"
+    marked = spread(trace, bins).selectExpr(f"cast({rate} as decimal(38, 18)) as r", f"least(first_bin, {last}) as a", f"least(first_bin + spanned - 1, {last}) + 1 as z")
+    steps = marked.selectExpr("explode(array(struct(a as bin, r as d), struct(z as bin, -r as d))) as m").selectExpr("m.bin", "m.d").where(f"bin < {bins}")
+    sums = dense(steps.groupBy("bin").agg(F.sum("d").alias("d")), bins)
+    return sums.selectExpr("bin", "cast(round(cast(sum(d) over (order by bin) as double), 4) as double) as mib_s")
 
 
 def bin_times(trace: DataFrame, bins: int = BINS) -> DataFrame:
@@ -129,7 +158,8 @@ def downsample(trace: DataFrame, per_writer: int = 100, most: int = 65536) -> Da
     n = trace.agg(F.count("*").alias("n"), F.countDistinct("pid").alias("w"))
     limit = f"least({per_writer} * w, {most})"
     step = n.selectExpr("n", f"filter(transform(sequence(0, 62), k -> shiftleft(1L, k)), s -> (n + s - 1) div s <= {limit})[0] as step")
-    ranked = prefix_sum(trace, [], "pid", ["begin_us", "seq"], "1L", "before")
+    # a bucket is 70 minutes of a writer, so that a busy writer is more than one task's
+    ranked = prefix_sum(trace.withColumn("_b", F.struct("pid", F.shiftright("begin_us", 32))), [], "_b", ["begin_us", "seq"], "1L", "before")
     return ranked.crossJoin(F.broadcast(step)).where("before % step = 0").select(*trace.columns)
 
 
@@ -141,6 +171,30 @@ def op_stats(ops: DataFrame) -> DataFrame:
     )
 
 
-def log_filter(logs: DataFrame, masks: DataFrame) -> DataFrame:
-    """Messages (facility, level, ...) at or over their facility's mask; facilities without one are left out."""
-    return logs.join(masks, "facility").where("level >= mask").drop("mask")
+def log_filter(logs: DataFrame, masks: DataFrame, default: int | None = None) -> DataFrame:
+    """Messages (facility, level, ...) that their facility's mask lets through; facilities without one have the default,
+    or are left out without that. Levels of DEBUG and under are bits of debug streams: any bit of the mask lets them
+    through. Others have to reach the mask."""
+    both = logs.join(masks, "facility", "inner" if default is None else "left")
+    mask = F.col("mask") if default is None else F.coalesce("mask", F.lit(default).cast("long"))
+    level = F.col("level")
+    return both.where(F.when(level >= INFO, level >= mask).otherwise(level.cast("long").bitwiseAND(mask.cast("long")) != 0)).drop("mask")
+
+
+def messages(lines: DataFrame) -> DataFrame:
+    """Log lines (value) as date, host, short_host, tag, facility, level, message, and error: parse for lines of fewer
+    than six fields, invalid for lines that do not start with a digit (their fields are still taken), else null."""
+    f = F.split("value", " +", 6)
+    whole = (F.size(f) == 6) & (F.element_at(f, -1) != "")
+    take = lambda k: F.when(whole, f[k])
+    made = lines.select("value", *[take(k).alias(n) for k, n in enumerate(("date", "host", "tag", "facility", "level", "message"))], F.when(~F.col("value").rlike("^[0-9]"), "invalid").when(~whole, "parse").alias("error"))
+    return made.withColumn("short_host", F.substring_index("host", ".", 1))
+
+
+def formatted(parsed: DataFrame, fmt: str) -> DataFrame:
+    """A line a message: the fields that the letters of fmt name, joined by blanks. d date, h host, H host without its
+    domain, t tag, f facility, l level, m message, s source (column source, if there); other letters give nothing."""
+    names = {"d": "date", "h": "host", "H": "short_host", "t": "tag", "f": "facility", "l": "level", "m": "message"} | ({"s": "source"} if "source" in parsed.columns else {})
+    pieces = [F.coalesce(F.col(names[c]), F.lit("")) if c in names else F.lit("") for c in fmt]
+    mark = F.when(F.col("error") == "invalid", F.concat(F.lit("INVALID-MSG: "), "value")).when(F.col("error") == "parse", F.concat(F.lit("PARSE-ERR: "), "value")).otherwise(F.lit(""))
+    return parsed.select(F.concat(mark, F.concat_ws(" ", *pieces)).alias("line"))

@@ -12,7 +12,7 @@ from tidelog.operators import extents, names, stat, trace
 from tidelog.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
-PROBE_STEP, TRUNCATE_AT, GROW_TO = 13, 500_000, 2_000_000
+TRUNCATE_AT, GROW_TO, GROWN_TO = 500_000, 2_000_000, 1_000_600
 
 
 def write_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +24,8 @@ def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = fx.table(spark, sf_dir, "events").where(f"event_id % {PROBE_STEP} = 0")
-    return events.selectExpr("event_id as probe_id", "event_type as file_id", "event_id * 104729 % 1010000 as offset", "1 + event_id % 5000 as length")
+    """A probe for each event."""
+    return fx.table(spark, sf_dir, "events").selectExpr("event_id as probe_id", "event_type as file_id", "event_id * 104729 % 1010000 as offset", "1 + event_id % 5000 as length")
 
 
 def file_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +95,26 @@ def clean_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", scalar.clean_path(F.col("path")).alias("clean"), scalar.flat_path(scalar.clean_path(F.col("path"))).alias("flat"))
 
 
-def log_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    logs = fx.table(spark, sf_dir, "events").selectExpr("event_id", "event_type as facility", "event_id % 8 as level")
-    masks = spark.range(1).selectExpr("explode(map('click', 3L, 'error', 0L, 'view', 6L, 'purchase', 5L)) as (facility, mask)")
-    return trace.log_filter(logs, masks)
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of levels 0x10000 (a debug stream) to 0x400000 (errors)."""
+    return fx.table(spark, sf_dir, "events").selectExpr("event_id", "event_type as facility", "shiftleft(65536, cast(event_id % 7 as int)) as level")
+
+
+def log_messages(spark: SparkSession, sf_dir: str, default: int | None = None) -> DataFrame:
+    masks = spark.range(1).selectExpr("explode(map('click', 1048576L, 'error', 327680L, 'view', 4194304L)) as (facility, mask)")
+    return trace.log_filter(messages(spark, sf_dir), masks, default)
+
+
+def message_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log lines of six fields or, now and then, of fewer, or without a date."""
+    return fx.table(spark, sf_dir, "events").selectExpr(
+        "event_id", "case when event_id % 11 = 0 then concat('12:00 host', event_id % 9, '.site tag') when event_id % 13 = 0 then concat('x host.site tag ', event_type, ' INFO  gone ', event_id)"
+        " else concat('12:', event_id % 60, '  host', event_id % 9, '.site.org tag', event_id % 3, ' ', event_type, ' WARN text of  ', event_id) end as value"
+    )
+
+
+def formatted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.formatted(trace.messages(message_lines(spark, sf_dir).select("value")), "dHtflm")
 
 
 def mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,10 +123,45 @@ def mounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stat.mount_of(paths, known)
 
 
+def links_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Metalinks on thirteen backends to five others, and the four of those that are known."""
+    links = fx.table(spark, sf_dir, "customer").selectExpr("concat('/mnt/b', c_custkey % 13, '/dir/l', c_custkey) as path", "concat(length(concat('/mnt/b', c_custkey % 13)), '/store/v', c_custkey % 5) as text")
+    return links, spark.range(4).selectExpr("concat('/store/v', id) as backend")
+
+
 def metalinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = fx.table(spark, sf_dir, "customer").selectExpr("concat('l', c_custkey) as name", "concat(c_custkey % 5, '/hostdir.', c_custkey % 32) as text")
-    backends = spark.range(4).selectExpr("id as idx", "concat('/store/v', id) as prefix")
-    return stat.resolve_metalinks(links, backends)
+    return stat.resolve_metalinks(*links_of(spark, sf_dir))
+
+
+def contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index and data logs below two backends, some of them behind metalinks whose folders are elsewhere or gone."""
+    made = fx.table(spark, sf_dir, "orders")
+    plain = made.selectExpr("concat('/mnt/b', o_custkey % 13, '/dir/d', o_custkey, '/dropping.', case when o_orderkey % 3 = 0 then 'index' when o_orderkey % 3 = 1 then 'data' else 'meta' end, '.', o_orderkey) as path")
+    shadow = made.where("o_custkey % 2 = 0").selectExpr("concat('/store/v', o_custkey % 5, '/dir/l', o_custkey, '/dropping.data.', o_orderkey) as path")
+    links, backends = links_of(spark, sf_dir)
+    roots = spark.range(2).selectExpr("concat('/mnt/b', id * 5) as root")
+    return stat.collect_contents(plain.union(shadow), links, backends, roots, ("dropping.index.", "dropping.data."))
+
+
+def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of files after each is grown to where only some of them end before."""
+    log = extents.grown(write_log(spark, sf_dir), GROWN_TO)
+    return extents.file_stats(log).selectExpr("file_id", "eof", "records")
+
+
+def small_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = fx.table(spark, sf_dir, "orders").selectExpr("o_orderkey as probe_id", "o_orderkey % 210 as fid", "o_orderkey * 104729 % 70000 as off")
+    return names.small_lookup(fx.small_index(spark, sf_dir), asked)
+
+
+def dropping_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fx.table(spark, sf_dir, "orders").selectExpr("concat('/burst/hostdir.', o_orderkey % 32, case when o_orderkey % 5 = 0 then '/dropping.meta.' when o_orderkey % 2 = 0 then '/dropping.index.' else '/dropping.data.' end, o_orderkey, '.n.', o_custkey % 9) as path")
+    return stat.writer_droppings(made, 7)
+
+
+def replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current names with their (fid, did) pairs, in order, as text."""
+    return names.replay(fx.name_log(spark, sf_dir)).selectExpr("dir_id", "name", "mtime_us", "array_join(transform(opens, x -> concat(x.fid, ':', x.did)), ' ') as opens")
 
 
 def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +170,7 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hostdirs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fx.table(spark, sf_dir, "orders").selectExpr("concat('c', cast(o_custkey % 30 as string)) as file_id", "o_orderkey % 32 as hostdir").where("hostdir % 3 = length(file_id) % 3")
+    made = fx.table(spark, sf_dir, "orders").selectExpr("concat('c', cast(o_custkey % 30 as string)) as file_id", "o_orderkey * o_custkey % 32 as hostdir")
     return stat.hostdirs(made)
 
 
@@ -135,11 +186,9 @@ def handle_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def xattrs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attributes of a file as a map, and one looked up."""
+    """How many attributes a file has, and one looked up."""
     kept = fx.table(spark, sf_dir, "customer").selectExpr("concat('c', cast(c_custkey % 300 as string)) as file_id", "concat('user.k', c_custkey % 3) as k", "c_name as v")
-    last = kept.groupBy("file_id", "k").agg(F.max("v").alias("v"))
-    made = last.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
-    return made.selectExpr("file_id", "cast(size(m) as bigint) as attrs", "m['user.k1'] as k1")
+    return stat.xattrs(kept).selectExpr("file_id", "cast(size(attributes) as bigint) as attrs", "attributes['user.k1'] as k1")
 
 
 def lazy_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +229,7 @@ QUERIES: dict[str, Query] = {
     "truncate_extents": _map(lambda x: extents.truncate(x, TRUNCATE_AT)),
     "data_paths": data_paths,
     "rewritten_log": _log(lambda x: extents.rewritten(x, TRUNCATE_AT)),
+    "grown_log": grown,
     "truncate_grow": _raw(lambda x: extents.resized_eof(extents.file_stats(x), GROW_TO)),
     "stat_closed": lambda s, d: stat.stat_closed(fx.meta(s, d), fx.open_handles(s, d)),
     "stat_size": lambda s, d: stat.stat(fx.meta(s, d), fx.open_handles(s, d), host_logs(s, d)),
@@ -196,13 +246,17 @@ QUERIES: dict[str, Query] = {
     "hostdirs": hostdirs,
     "metalinks": metalinks,
     "mounts": mounts,
+    "collect_contents": contents,
+    "writer_droppings": dropping_names,
+    "list_prefixed": lambda s, d: stat.list_names(fx.name_log(s, d), ("f1x", "f42x")),
     "list_names": lambda s, d: stat.list_names(fx.name_log(s, d)),
     "replay_names_simple": lambda s, d: names.replay_simple(fx.name_log(s, d)),
-    "replay_names": lambda s, d: names.replay(fx.name_log(s, d)),
+    "replay_names": replayed,
     "merge_name_logs": lambda s, d: names.merged(fx.name_log(s, d)).select("dir_id", "did", "seq", "ts_us", "op", "name"),
     "name_index": lambda s, d: names.index_of_names(*linked(s, d)),
     "truncate_clip": lambda s, d: names.truncate_clip(fx.small_index(s, d)),
     "small_extents": lambda s, d: names.small_extents(fx.small_index(s, d)),
+    "small_lookup": small_lookups,
     "small_size": lambda s, d: names.small_size(fx.small_index(s, d)),
     "trace_projection": _trace(trace.projection),
     "trace_bounds": _trace(trace.bounds),
@@ -222,6 +276,12 @@ QUERIES: dict[str, Query] = {
     "downsample": _trace(trace.downsample),
     "op_stats": lambda s, d: trace.op_stats(fx.ops(s, d)),
     "log_filter": log_messages,
+    "log_filter_default": lambda s, d: log_messages(s, d, 2097152),
+    "parse_messages": lambda s, d: trace.messages(message_lines(s, d).select("value")),
+    "format_messages": formatted_messages,
+    "trace_report": _trace(trace.report),
+    "offset_triples": _trace(trace.offset_triples),
+    "time_triples": _trace(trace.time_triples),
     "hash_bucket": hash_bucket,
     "human_size": human_size,
     "rank_groups": rank_groups,
