@@ -5,6 +5,9 @@ of the `gram`-byte strings inside a window. Equal windows have equal anchors, so
 its anchor. Anchors that one document alone has are dropped first; the pieces of the others go to their buckets, where
 one symbol of every piece is inserted a round, from the last to the first, and the transform and the common prefixes of
 the collection are updated. Suffixes with `width` symbols in common are equal windows.
+
+Equal windows have equal second, third, ... least hashes too, so an anchor with very many contexts is split by those:
+among tasks if very many chunks have it, and inside a task until each transform is small.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from tidelog.llm.common import Hashes, only, utf8, written
 #: Windows a piece has at most, and bytes of text that anchors are computed for at once.
 MOST, SLICE = 32, 1 << 17
 LAST = np.iinfo(np.int64).max
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -51,6 +55,21 @@ def least_of(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - step : width - step + n])
 
 
+def ranked(grams: np.ndarray, at: np.ndarray, inner: int, rank: int) -> np.ndarray:
+    """The hash of that rank (0: the least) among the `inner` gram hashes from each place on."""
+    out = np.empty(len(at), np.uint64)
+    for lo in range(0, len(at), 1 << 15):
+        own = grams[at[lo : lo + (1 << 15), None] + np.arange(inner)]
+        out[lo : lo + (1 << 15)] = np.partition(own, rank, axis=1)[:, rank]
+    return out
+
+
+def expanded(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whose) of every window of runs of windows."""
+    who = np.repeat(np.arange(len(start)), count)
+    return np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count) + start[who], who
+
+
 @dataclass
 class Pieces:
     start: np.ndarray  # of the first window, in the chunk
@@ -79,8 +98,9 @@ class Chunk:
         self.ends = np.cumsum(self.sizes)
         self.data = np.frombuffer(b"".join(texts), np.uint8)
 
-    def pieces(self, wanted: np.ndarray | None = None, key=None) -> Pieces:
-        """All pieces, or those whose key(anchor) is in the sorted array wanted."""
+    def pieces(self, wanted: np.ndarray | None = None, key=None, hot: np.ndarray | None = None) -> Pieces:
+        """All pieces, or those whose key(anchor) is in the sorted array wanted. Those whose key is in the sorted array
+        hot are split by their windows' second least hash, which then is a part of the anchor."""
         out, width = [], self.width
         if wanted is not None:  # most anchors fail at a table of their low bits
             likely, low = np.zeros(1 << 22, bool), np.uint64((1 << 22) - 1)
@@ -92,7 +112,8 @@ class Chunk:
             if len(data) < width:
                 continue
             hashes = Hashes(data)
-            m = least_of(hashes.grams(self.gram), width - self.gram + 1)[: hi - lo]
+            grams = hashes.grams(self.gram)
+            m = least_of(grams, width - self.gram + 1)[: hi - lo]
             at = np.arange(lo, lo + len(m))
             d0, d1 = np.searchsorted(self.ends, [lo, lo + len(m) - 1], "right")
             stop = np.repeat(self.ends[d0 : d1 + 1], np.minimum(self.ends[d0 : d1 + 1], lo + len(m)) - np.maximum(begins[d0 : d1 + 1], lo))
@@ -110,6 +131,18 @@ class Chunk:
                 k = key(anchor[hit])
                 hit = hit[wanted[np.minimum(np.searchsorted(wanted, k), len(wanted) - 1)] == k] if len(wanted) else hit[:0]
                 begin, count, anchor = begin[hit], count[hit], anchor[hit]
+                if hot is not None and len(hot) and len(hit):
+                    k = key(anchor)
+                    many = hot[np.minimum(np.searchsorted(hot, k), len(hot) - 1)] == k
+                    at, who = expanded(begin[many], count[many])
+                    second = ranked(grams, at, width - self.gram + 1, 1)
+                    first = np.ones(len(at), bool)
+                    first[1:] = (who[1:] != who[:-1]) | (second[1:] != second[:-1])
+                    cut = np.flatnonzero(first)
+                    mixed = anchor[many][who[cut]] ^ (second[cut] * _MIX | np.uint64(1))
+                    begin, count, anchor = (np.concatenate(x) for x in ((begin[~many], at[cut]), (count[~many], np.diff(np.append(cut, len(at)))), (anchor[~many], mixed)))
+                    order = np.argsort(begin, kind="stable")
+                    begin, count, anchor = begin[order], count[order], anchor[order]
             parts = -(-count // MOST)
             inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             begin, count, anchor = np.repeat(begin, parts) + inner * MOST, np.minimum(MOST, np.repeat(count, parts) - inner * MOST), np.repeat(anchor, parts)
@@ -278,7 +311,50 @@ def least_documents(texts: list[bytes], docs: np.ndarray, width: int) -> np.ndar
     return out
 
 
-def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int = 8 << 20, bucket_pieces: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def by_anchor(texts: list[bytes], docs: np.ndarray, home: np.ndarray, width: int, gram: int, most: int, rank: int = 1) -> np.ndarray:
+    """least_documents() of texts that can only match where home is equal.
+
+    Transforms are built over whole homes of about `most` texts together. The windows of a home with more are split by
+    their least hash of the next rank, which equal windows have in common, and so on while there is one.
+    """
+    order = np.argsort(home, kind="stable")
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(home[order])) + 1, [len(order)]))
+    best, at = np.full((len(texts), MOST), LAST), 0
+    while at < len(edge) - 1:
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + most, "right")) - 1)
+        own = order[edge[at] : edge[to]]
+        if len(own) > most and rank <= width - gram:
+            best[own] = _split([texts[k] for k in own], docs[own], width, gram, most, rank)
+        else:
+            best[own] = least_documents([texts[k] for k in own], docs[own], width)
+        at = to
+    return best
+
+
+def _split(texts: list[bytes], docs: np.ndarray, width: int, gram: int, most: int, rank: int) -> np.ndarray:
+    """by_anchor() of texts with one home, by the hash of that rank in each window."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    start, count = np.cumsum(sizes) - sizes, sizes - width + 1
+    raw = b"".join(texts)
+    at, who = expanded(start, count)
+    hashed = ranked(Hashes(np.frombuffer(raw, np.uint8)).grams(gram), at, width - gram + 1, rank)
+    first = np.ones(len(at), bool)
+    first[1:] = (who[1:] != who[:-1]) | (hashed[1:] != hashed[:-1])
+    cut = np.flatnonzero(first)
+    size, begin, owner = np.diff(np.append(cut, len(at))), at[cut], who[cut]
+    number: dict[bytes, int] = {}
+    which = np.fromiter((number.setdefault(raw[a : a + n + width - 1], len(number)) for a, n in zip(begin.tolist(), size.tolist(), strict=True)), np.int64, len(cut))
+    low, home = np.full(len(number), LAST), np.empty(len(number), np.uint64)
+    np.minimum.at(low, which, docs[owner])
+    home[which] = hashed[cut]
+    found = by_anchor(list(number), low, home, width, gram, most, rank + 1)
+    out = np.full((len(texts), MOST), LAST)
+    inside, run = expanded(np.zeros(len(cut), np.int64), size)
+    out[owner[run], begin[run] - start[owner[run]] + inside] = found[which[run], inside]
+    return out
+
+
+def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int = 8 << 20, bucket_pieces: int = 2048, hot_chunks: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, kept, spans): a document's bytes without those that repeat an earlier document, and where they were.
 
     A byte goes if some string of `width` bytes over it also starts in a document with a smaller id; strings are judged
@@ -289,8 +365,12 @@ def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int =
     Documents are dealt by hash into chunks of about chunk_bytes, which a task holds one at a time, so raise it with the
     executors' memory when there are very many chunks. Anchors go to buckets as 32-bit numbers; false matches among them
     cost work only. Per chunk each distinct piece is sent once, with the least of its documents, so a passage that any
-    share of all documents has is a piece a chunk. A task takes its distinct pieces in parts of about bucket_pieces by
-    anchor; the transform of a part lives in memory, rewritten front to back a round.
+    share of all documents has is a piece a chunk. An anchor that hot_chunks chunks have is split by the windows' second
+    least hash, so that its contexts are dealt over tasks. A task takes its distinct pieces in parts of about
+    bucket_pieces by anchor, and splits an anchor with more; the transform of a part lives in memory, rewritten front to
+    back a round. Shuffles have as many partitions as chunks, buckets or groups of parts, so that what a task reads does
+    not grow with the input. Ties, long texts and other columns: every byte of every text is read, of equal strings the
+    least document keeps its own, and only the two columns are read.
     """
     texts = only(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -344,24 +424,34 @@ def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int =
         same = low[1:] == low[:-1]
         several[1:] |= same
         several[:-1] |= same
-        low, which = low[several], which[several]
+        edge = np.concatenate(([0], np.flatnonzero(~same) + 1, [len(low)]))
+        hot = np.repeat(np.diff(edge) >= hot_chunks, np.diff(edge))
+        low, which, hot = low[several], which[several], hot[several]
         order = np.argsort(which, kind="stable")
-        low, which = low[order], which[order]
+        low, which, hot = low[order], which[order], hot[order]
         cut = np.searchsorted(which, np.arange(len(pdf) + 1))
-        rows = [(int(c), int(b), pack(np.diff(low[lo:hi], prepend=np.uint32(0)))) for c, b, lo, hi in zip(pdf["chunk"], pdf["bucket"], cut[:-1].tolist(), cut[1:].tolist(), strict=True) if hi > lo]
+        rows = [(int(c), int(b), pack(np.diff(low[lo:hi], prepend=np.uint32(0)), np.packbits(hot[lo:hi]))) for c, b, lo, hi in zip(pdf["chunk"], pdf["bucket"], cut[:-1].tolist(), cut[1:].tolist(), strict=True) if hi > lo]
         return pd.DataFrame(rows, columns=["chunk", "bucket", "blob"])
 
-    shared, _ = written(dealt.groupBy("chunk").applyInPandas(anchors, "bucket long, chunk long, blob binary").groupBy("bucket").applyInPandas(meet, "chunk long, bucket long, blob binary"))
+    by_chunk, by_bucket, by_part = (min(20_000, 2 * k) for k in (chunks, buckets, groups))
+    found = dealt.repartition(by_chunk, "chunk").groupBy("chunk").applyInPandas(anchors, "bucket long, chunk long, blob binary")
+    shared, _ = written(found.repartition(by_bucket, "bucket").groupBy("bucket").applyInPandas(meet, "chunk long, bucket long, blob binary"))
 
-    def wanted(pdf: pd.DataFrame) -> np.ndarray:
-        parts = [np.cumsum(unpack(blob)[0], dtype=np.uint32).astype(np.uint64) | np.uint64(b) << np.uint64(32) for b, blob in zip(pdf["bucket"], pdf["blob"], strict=True)]
-        return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    def wanted(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of a chunk's anchors that other documents have too, and those of the hot ones, both sorted."""
+        parts, many = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for b, blob in zip(pdf["bucket"], pdf["blob"], strict=True):
+            step, bits = unpack(blob)
+            parts.append(np.cumsum(step, dtype=np.uint32).astype(np.uint64) | np.uint64(b) << np.uint64(32))
+            many.append(parts[-1][np.unpackbits(bits)[: len(step)].astype(bool)])
+        return np.sort(np.concatenate(parts)), np.sort(np.concatenate(many))
 
     def send(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"part": [], "chunk": [], "blob": []})
         chunk = Chunk(left["blob"], width, gram)
-        p = chunk.pieces(wanted(right), key)
+        keyed, many = wanted(right)
+        p = chunk.pieces(keyed, key, many)
         lead, _ = chunk.distinct(p)
         part = (p.anchor[lead] >> np.uint64(8)) % np.uint64(groups)
         order = np.argsort(part, kind="stable")
@@ -390,13 +480,7 @@ def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int =
         low, home = np.full(len(texts), LAST), np.empty(len(texts), np.uint64)
         np.minimum.at(low, which, doc)
         home[which] = anchor
-        order = np.argsort(home, kind="stable")
-        edge = np.concatenate(([0], np.flatnonzero(np.diff(home[order])) + 1, [len(order)]))
-        best, at = np.empty((len(texts), MOST), np.int64), 0
-        while at < len(edge) - 1:  # whole anchors, bucket_pieces of their pieces or one anchor
-            to = max(at + 1, int(np.searchsorted(edge, edge[at] + bucket_pieces, "right")) - 1)
-            own = order[edge[at] : edge[to]]
-            best[own], at = least_documents([texts[k] for k in own], low[own], width), to
+        best = by_anchor(texts, low, home, width, gram, bucket_pieces)
         for lo in range(0, len(which), 1 << 16):
             flags = best[which[lo : lo + (1 << 16)]] < doc[lo : lo + (1 << 16), None]
             some = np.flatnonzero(flags.any(axis=1))
@@ -409,8 +493,8 @@ def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int =
         rows = [(int(c), -1, pack(local[at[a:b]], bits[a:b])) for c, a, b in zip(pdf["chunk"], cut[:-1].tolist(), cut[1:].tolist(), strict=True) if b > a]
         return pd.DataFrame(rows, columns=["chunk", "bucket", "blob"])
 
-    sent = dealt.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(send, "part long, chunk long, blob binary")
-    answers = sent.groupBy("part").applyInPandas(resolve, "chunk long, bucket long, blob binary")
+    sent = dealt.repartition(by_chunk, "chunk").groupBy("chunk").cogroup(shared.repartition(by_chunk, "chunk").groupBy("chunk")).applyInPandas(send, "part long, chunk long, blob binary")
+    answers = sent.repartition(by_part, "part").groupBy("part").applyInPandas(resolve, "chunk long, bucket long, blob binary")
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
@@ -419,7 +503,8 @@ def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int =
         size = len(chunk.data)
         starts = np.zeros(size + 1, bool)
         if len(right):
-            p = chunk.pieces(wanted(right[right["bucket"] >= 0]), key)
+            keyed, many = wanted(right[right["bucket"] >= 0])
+            p = chunk.pieces(keyed, key, many)
             lead, group = chunk.distinct(p)
             mask = np.zeros(len(lead), np.uint32)
             for blob in right.loc[right["bucket"] < 0, "blob"]:
@@ -447,4 +532,4 @@ def repeats(docs: DataFrame, width: int = 50, gram: int = 24, chunk_bytes: int =
         out["id"] = pd.array([r[0] for r in rows], dtype="Int64")
         return out
 
-    return dealt.groupBy("chunk").cogroup(shared.union(answers).groupBy("chunk")).applyInPandas(cut, "id long, n_bytes long, kept binary, spans array<struct<start:long,length:long>>")
+    return dealt.repartition(by_chunk, "chunk").groupBy("chunk").cogroup(shared.union(answers).repartition(by_chunk, "chunk").groupBy("chunk")).applyInPandas(cut, "id long, n_bytes long, kept binary, spans array<struct<start:long,length:long>>")
