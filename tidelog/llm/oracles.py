@@ -78,19 +78,31 @@ from d left join t on d.doc_id = t.doc_id left join q on d.doc_id = q.doc_id
 """
 
 OP5 = """
-with t as (select distinct conv_id, coalesce(turn, -1) turn, role, coalesce(text, '') x from conversations),
+with recursive t as (select distinct conv_id, coalesce(turn, -1) turn, role, coalesce(text, '') x from conversations),
 u as (select distinct conv_id, turn from t where role = 'user'),
-k as (select t.*, case when role = 'user' then 'call' when role = 'assistant' and u.turn is not null then 'result' else coalesce(role, 'unknown') end kind
-  from t left join u on t.conv_id is not distinct from u.conv_id and t.turn = u.turn + 1),
+k as (select t.*, case when role = 'user' then 'call' when role = 'assistant' and u.turn is not null then 'result' else coalesce(role, 'unknown') end kind,
+  ((coalesce(t.conv_id, 0) * 7 + t.turn) % 12 + 12) % 12 rule from t left join u on t.conv_id is not distinct from u.conv_id and t.turn = u.turn + 1),
 r as (select distinct conv_id, turn from k where kind = 'result'),
 j as (select k.*, r.turn answered, case kind when 'call' then 'call_' || k.turn when 'result' then 'call_' || (k.turn - 1) end call_id,
-  '{' || case when k.turn >= 2 then '"after":"$result:call_' || (k.turn - 2) || '",' else '' end || '"prompt":' || to_json(x) || '}' args
-  from k left join r on kind = 'call' and k.conv_id is not distinct from r.conv_id and r.turn = k.turn + 1)
+  case rule when 0 then null when 5 then null when 7 then null when 2 then k.turn + 2 when 4 then k.turn - 4 when 6 then k.turn + 2 when 8 then k.turn + 4 when 9 then k.turn + 2 when 10 then k.turn when 11 then k.turn - 4 else k.turn - 2 end named
+  from k left join r on kind = 'call' and k.conv_id is not distinct from r.conv_id and r.turn = k.turn + 1),
+e as (select a.conv_id, a.turn c, d.turn d, d.answered dres from j a join j d on a.conv_id is not distinct from d.conv_id and a.kind = 'call' and d.kind = 'call' and a.named = d.turn and d.turn >= 0 and d.answered is not null),
+far as (select conv_id, c, d from e union select far.conv_id, far.c, e.d from far join e on far.conv_id is not distinct from e.conv_id and far.d = e.c),
+cyc as (select distinct f.conv_id, f.c from far f join far z on f.conv_id is not distinct from z.conv_id and f.d = z.c and z.c = z.d),
+lp as (select conv_id, turn c, turn s, 0 l from j where kind = 'call'
+  union select e.conv_id, e.c, greatest(lp.s, e.dres), case when e.dres > lp.s then 1 else lp.l + 2 end from lp join e on lp.conv_id is not distinct from e.conv_id and lp.c = e.d
+  where greatest(lp.s, e.dres) >= e.c and not exists (select 1 from cyc where cyc.conv_id is not distinct from e.conv_id and cyc.c = e.c)),
+spot as (select conv_id, c, m.s, m.l, w from (select lp.conv_id, lp.c, max({'s': s, 'l': l}) m, bool_or(cyc.c is not null) w from lp left join cyc on lp.conv_id is not distinct from cyc.conv_id and lp.c = cyc.c group by lp.conv_id, lp.c)),
+v as (select j.*, spot.s, spot.l, spot.w, case rule when 0 then 'extra:.tone' when 1 then 'missing:.prompt' when 3 then 'type:.prompt' when 5 then 'unknown_tool' when 7 then 'bad_json' else 'ok' end valid,
+  case when w then 'cycle' when answered is null then 'no_result' else 'ok' end state,
+  case rule when 7 then '{"prompt":' else '{' || concat_ws(',', case when named >= 0 then '"after":"$result:call_' || named || '"' end, case rule when 1 then null when 3 then '"prompt":' || j.turn else '"prompt":' || to_json(x) end, case when rule = 0 then '"tone":1' end) || '}' end args
+  from j left join spot on j.conv_id is not distinct from spot.conv_id and spot.c = case kind when 'call' then j.turn when 'result' then j.turn - 1 end)
 select conv_id, turn, kind, call_id, (case kind when 'call' then answered when 'result' then turn - 1 end)::bigint linked_turn,
-  case when kind = 'call' and answered is null then 'no_result' else 'ok' end status, turn slot, 0::int as level,
-  case kind when 'call' then '{"role":"assistant","tool_calls":[{"function":{"arguments":' || to_json(args) || ',"name":"reply"},"id":"' || call_id || '","type":"function"}]}'
+  case when kind <> 'call' then 'ok' when valid = 'ok' then state when state = 'ok' then valid else state || ',' || valid end status,
+  case kind when 'call' then s when 'result' then greatest(turn, s) else turn end slot, (case when kind = 'call' then l when kind = 'result' and turn <= s then l + 1 else 0 end)::int as level,
+  case kind when 'call' then '{"role":"assistant","tool_calls":[{"function":{"arguments":' || to_json(args) || ',"name":"' || case when rule = 5 then 'answer' else 'reply' end || '"},"id":"' || call_id || '","type":"function"}]}'
     when 'result' then '{"content":' || to_json(x) || ',"role":"tool","tool_call_id":"' || call_id || '"}'
-    else '{"content":' || to_json(x) || ',"role":' || to_json(kind) || '}' end as json from j
+    else '{"content":' || to_json(x) || ',"role":' || to_json(kind) || '}' end as json from v
 """
 
 ORACLE_SQL: dict[str, str] = {"op2_bwt_substring_dedup": OP2, "op5_tool_call_linking": OP5, "op6_hash_tree_sharding": OP6, "op8_source_mixing": OP8, "op10_pstable_lsh": OP10}
