@@ -53,15 +53,17 @@ class Plan:
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = 512, plan: Plan | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, n_links, component, kept), a row for each row of vectors.
+    """(id, n_links, component, kept), a row for each row of vectors, whatever its length and however often its id comes.
 
     Vectors link at a cosine of `threshold` or more, in double precision; those that are null, empty, zero or hold null
     or non-finite components link with nothing. Bitwise equal vectors are one class with a count and link with each
     other. Classes meet in hash buckets (plan, or one that grows with their number); a bucket of more than `block`
     members is cut into blocks, and pairs of blocks meet in tasks of their own, so that any bucket is compared whole in
     bounded memory. A pair counts in the first table where it meets. Links come back as counts and stars, never as
-    pairs. Vectors of different lengths never link; a null id forms no link with others and is its own component;
-    repeated rows are copies of each other; an empty table gives no rows.
+    pairs. Classes are numbered, and numbers turn into ids at the end only, so an id with several vectors stands for each
+    of them. Vectors of different lengths never link; a null id forms no link with others and is its own component;
+    repeated rows are copies of each other; a tie at the threshold links; other columns are not read; an empty table
+    gives no rows.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,7 +78,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = 512,
 
     ids = vectors.schema[id_col].dataType.simpleString()
     all_rows, _ = written(only(vectors, id_col, vec_col).toDF("id", "v").mapInPandas(pack, f"id {ids}, v binary"))
-    classes, _ = written(all_rows.where("v is not null and id is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("m")))
+    classes, _ = written(all_rows.where("v is not null and id is not null").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("m")).withColumn("node", F.monotonically_increasing_id()))
     count = classes.count()
     use = plan or Plan.for_rows(count, threshold)
     shared = max(64, count * use.tables // 8192)  # tasks that the small buckets are dealt over
@@ -88,17 +90,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = 512,
                 own = pdf[lengths == length]
                 x = np.frombuffer(b"".join(own["v"]), np.float64).reshape(len(own), -1)
                 codes = use.codes(x / np.sqrt((x * x).sum(axis=1))[:, None])
-                yield pd.DataFrame({"id": own["id"], "m": own["m"], "v": own["v"], "codes": [c.tobytes() for c in codes], "h": list(codes)})
+                yield pd.DataFrame({"node": own["node"], "m": own["m"], "v": own["v"], "codes": [c.tobytes() for c in codes], "h": list(codes)})
 
-    coded, _ = written(classes.mapInPandas(code, f"id {ids}, m long, v binary, codes binary, h array<int>"))
-    keys = coded.select("id", F.octet_length("v").alias("len"), F.posexplode("h").alias("t", "h"))
+    coded, _ = written(classes.mapInPandas(code, "node long, m long, v binary, codes binary, h array<int>"))
+    keys = coded.select("node", F.octet_length("v").alias("len"), F.posexplode("h").alias("t", "h"))
     crowds = keys.groupBy("t", "h", "len").agg(F.count("*").alias("c")).where("c > 1")
     cells = (
         keys.join(crowds, ["t", "h", "len"])
         .withColumn("parts", F.expr(f"cast((c + {block - 1}) div {block} as int)"))
-        .withColumn("part", F.pmod(F.hash("id"), F.col("parts")))
+        .withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
         .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
-        .select("id", "t", "h", "len", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        .select("node", "t", "h", "len", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         .withColumn("cell", F.when(F.col("j") == 0, F.concat(F.lit("p"), F.pmod(F.hash("t", "h", "len"), F.lit(shared)))).otherwise(F.concat_ws(":", "t", "h", "len", "i", "j")))
     )
 
@@ -108,7 +110,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = 512,
             x = np.frombuffer(b"".join(own["v"]), np.float64).reshape(len(own), -1)
             x = x / np.sqrt((x * x).sum(axis=1))[:, None]
             codes = np.frombuffer(b"".join(own["codes"]), np.int32).reshape(len(own), -1)
-            part, m, who = own["part"].to_numpy(), own["m"].to_numpy(), own["id"].to_numpy()
+            part, m, who = own["part"].to_numpy(), own["m"].to_numpy(), own["node"].to_numpy()
             near = np.triu(x @ x.T >= threshold, 1)
             if i != j:
                 near &= part[:, None] != part[None, :]
@@ -129,10 +131,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, block: int = 512,
             n.append(count[some])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b), "n": np.concatenate(n)} if a else {"a": [], "b": [], "n": []})
 
-    found, _ = written(cells.join(coded.select("id", "m", "v", "codes"), "id").groupBy("cell").applyInPandas(compare, f"a {ids}, b {ids}, n long"))
-    counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    parts = connected_components(found).withColumnRenamed("node", "id").withColumnRenamed("component", "top")
-    named, _ = written(classes.join(counts, "id", "left").join(parts, "id", "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("top", "id").alias("component")))
-    linked = all_rows.where("v is not null and id is not null").join(named, "v").select("id", "n_links", "component")
+    found, _ = written(cells.join(coded.select("node", "m", "v", "codes"), "node").groupBy("cell").applyInPandas(compare, "a long, b long, n long"))
+    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    parts = connected_components(found).withColumnRenamed("component", "top")
+    named, _ = written(classes.join(counts, "node", "left").join(parts, "node", "left").select("v", "least", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("top", "node").alias("top")))
+    whole, _ = written(named.groupBy("top").agg(F.min("least").alias("component")))
+    linked = all_rows.where("v is not null and id is not null").join(named.join(whole, "top").select("v", "n_links", "component"), "v").select("id", "n_links", "component")
     alone = all_rows.where("v is null or id is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return linked.union(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
