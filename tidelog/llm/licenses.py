@@ -18,14 +18,27 @@ from tidelog.llm.linear import fit_logistic
 
 # Notices of licence families, as their users write them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    "mit": (
+        "Released under the MIT License.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    ),
+    "apache-2.0": (
+        "Licensed under the Apache License, Version 2.0.",
+        "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
     "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     "gpl-2.0": ("Licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License."),
     "lgpl": ("Licensed under the GNU Lesser General Public License.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License."),
     "agpl-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "bsd": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0."),
+    "bsd": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "Licensed under the ISC License."),
+    "unlicense": ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "Licensed under the Mozilla Public License, version 2.0."),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -182,43 +195,92 @@ def shared_pairs(paragraph: str) -> int:
     return len(_PAIRS & set(zip(words, words[1:], strict=False)))
 
 
+#: Share of a line's word pairs that notices have, from which it may be a part of a wrapped one.
+ALIKE = 0.5
+
+
+def wrapped(alike: np.ndarray, document: np.ndarray) -> list[tuple[int, int]]:
+    """(first, behind last) of the runs of two or more neighbouring lines of a document that are alike."""
+    joined = alike[1:] & alike[:-1] & (document[1:] == document[:-1])
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], joined, [False])).astype(np.int8)))
+    return [(int(a), int(b) + 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+
+
+def plain_lines(texts: DataFrame, most: int, longest: int = 4000) -> list[str]:
+    """One line each of at most `most` documents, chosen by hash, without lines that speak of licences or are longer than
+    `longest` characters."""
+    hashed = texts.where("text is not null and text != ''").withColumn("h", F.xxhash64("id", "text"))
+    first = [r["h"] for r in hashed.select("h").orderBy("h").limit(most).collect()]
+    if not first:
+        return []
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(x).between(1, longest) & ~F.lower(x).rlike("licen|rights|public domain"))
+    some = hashed.where(F.col("h") <= first[-1]).select("h", lines.alias("l")).where("size(l) > 0").selectExpr("h", "l[cast(pmod(h, size(l)) as int)] as line").distinct()
+    return [r["line"] for r in some.orderBy("h", "line").limit(most).collect()]
+
+
 def scan(docs: DataFrame, confirm: float = 0.8, max_plain: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, paragraph, family, probability, similarity, template, confirmed) for each paragraph that holds a notice.
+    """(id, paragraph, lines, family, probability, similarity, template, confirmed) for each paragraph that holds a notice.
 
-    Paragraphs are lines, numbered from 0, of whole texts. A paragraph whose likeliest class is none, or that shares
-    fewer than two word pairs with any notice, is not listed; one
-    whose family is below the floor, or that does not have `confirm` of a template's word pairs, is listed as of family
-    unknown, unconfirmed. At most max_plain documents, chosen by hash, lend the first line of theirs to the class none.
-    Null and empty texts have no paragraphs; repeated rows are scanned each; an empty table gives no rows.
+    A paragraph is a line, or a run of neighbouring lines half of whose word pairs notices have, as wrapped notices are;
+    punctuation is no part of words, so comment signs drop out and a line of them alone ends a run. Lines of whole texts
+    are numbered from 0; a run has its first line's number. A line whose likeliest class is none, or that shares fewer
+    than two word pairs with any notice, is not listed; one whose family is below the floor, or that does not have
+    `confirm` of a template's word pairs, is listed as of family unknown, unconfirmed. A run is listed if it is confirmed,
+    in place of its lines that are unconfirmed or of the same family. At most max_plain documents,
+    chosen by hash, lend a line of theirs to the class none. Null and empty texts have no paragraphs; null ids and
+    repeated rows are scanned each; long texts are scanned whole; equal chances go to the first family; other columns
+    are not read; an empty table gives no rows.
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     texts = only(docs, id_col, text_col).toDF("id", "text")
-    few = texts.select("text", F.xxhash64("id").alias("h")).where("text is not null and text != ''").select("h", F.substring(F.substring_index("text", "\n", 1), 1, 400).alias("line")).where("not lower(line) rlike 'licen|rights|public domain'").orderBy("h", "line").limit(max_plain)
-    shared = spark.sparkContext.broadcast(train([r["line"] for r in few.collect()]))
+    shared = spark.sparkContext.broadcast(train(plain_lines(texts, max_plain)))
     none, unknown = len(FAMILIES) - 1, len(FAMILIES) - 2
 
+    def parsed(lines: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers (-1: not in the vocabulary) of lines, and whose each is."""
+        mark = "\x00"
+        flat = f" {mark} ".join([line.replace(mark, " ") for line in lines]).lower().translate(_DROP).split()
+        ids = np.fromiter(map(model.vocabulary.get, flat, repeat(-1)), np.int64, len(flat))
+        ends = np.fromiter((w == mark for w in flat), bool, len(flat))
+        return ids[~ends], np.cumsum(ends)[~ends]
+
+    def judged(model: Model, chances: np.ndarray, text: str) -> tuple[int, float, int, bool]:
+        f = int(chances.argmax())
+        got, which = similarity(words_of(text), FAMILIES[f]) if f != none else (0.0, -1)
+        return f, got, which, f not in (none, unknown) and chances[f] >= model.floor and got >= confirm
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        get, mark = model.vocabulary.get, "\x00"
+        model, size = shared.value, len(shared.value.vocabulary)
+        notice = np.array(sorted(model.vocabulary[a] * size + model.vocabulary[b] for a, b in _PAIRS), np.int64)
         for pdf in batches_by_bytes(batches, "text"):
-            out = []
-            lines = [(i, k, line) for i, t in zip(pdf["id"], pdf["text"], strict=True) if isinstance(t, str) for k, line in enumerate(t.split("\n"))]
-            flat = f" {mark} ".join([line.replace(mark, " ") for _, _, line in lines]).lower().translate(_DROP).split()
-            ids = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
-            ends = np.fromiter((w == mark for w in flat), bool, len(flat))
-            who = np.cumsum(ends)[~ends]
-            ids = ids[~ends]
-            if not len(lines) or not len(ids):
+            lines = [(d, k, line) for d, t in enumerate(pdf["text"]) if isinstance(t, str) for k, line in enumerate(t.split("\n"))]
+            ids, who = parsed([x[2] for x in lines], model) if lines else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if not len(ids):
                 continue
-            p = model.chances(ids, who, len(lines))
-            for k in np.flatnonzero(p.argmax(axis=1) != none):
-                f = int(p[k].argmax())
-                got, which = similarity(words_of(lines[k][2]), FAMILIES[f])
+            own = pdf["id"].tolist()
+            p, out, sure = model.chances(ids, who, len(lines)), [], {}
+            for k in np.flatnonzero(p.argmax(axis=1) != none).tolist():
+                f, got, which, good = judged(model, p[k], lines[k][2])
                 if (f == unknown or got < confirm) and shared_pairs(lines[k][2]) < 2:
                     continue
-                sure = f != unknown and p[k, f] >= model.floor and got >= confirm
-                out.append((lines[k][0], lines[k][1], FAMILIES[f] if sure else "unknown", float(p[k, f]), got, f"{FAMILIES[f]}/{which}" if sure else None, sure))
+                sure[k] = f if good else -1
+                out.append((k, 1, FAMILIES[f] if good else "unknown", float(p[k, f]), got, f"{FAMILIES[f]}/{which}" if good else None, good))
+            pair = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & (who[:-1] == who[1:]))
+            code = ids[pair] * size + ids[pair + 1]
+            code = notice[np.minimum(np.searchsorted(notice, code), len(notice) - 1)] == code
+            words, pairs = np.bincount(who, minlength=len(lines)), np.bincount(who[pair[code]], minlength=len(lines))
+            alike = np.where(words > 1, pairs >= np.maximum(1, ALIKE * (words - 1)), np.bincount(who[ids >= 0], minlength=len(lines)) > 0)
+            spans = wrapped(alike, np.array([x[0] for x in lines]))
+            if spans:
+                joined = [" ".join(x[2] for x in lines[a:b]) for a, b in spans]
+                q = model.chances(*parsed(joined, model), len(joined))
+                for (a, b), text, chances in zip(spans, joined, q, strict=True):
+                    f, got, which, good = judged(model, chances, text)
+                    if good:
+                        out = [x for x in out if not a <= x[0] < b or x[1] > 1 or sure[x[0]] not in (-1, f)]
+                        out.append((a, b - a, FAMILIES[f], float(chances[f]), got, f"{FAMILIES[f]}/{which}", True))
             if out:
-                yield pd.DataFrame(out, columns=["id", "paragraph", "family", "probability", "similarity", "template", "confirmed"])
+                rows = [(own[lines[k][0]], lines[k][1], *rest) for k, *rest in sorted(out, key=lambda x: x[:3])]
+                yield pd.DataFrame(rows, columns=["id", "paragraph", "lines", "family", "probability", "similarity", "template", "confirmed"]).astype({"id": pdf["id"].dtype})
 
-    return texts.mapInPandas(run, f"id {kind}, paragraph int, family string, probability double, similarity double, template string, confirmed boolean")
+    return texts.mapInPandas(run, f"id {kind}, paragraph int, lines int, family string, probability double, similarity double, template string, confirmed boolean")
