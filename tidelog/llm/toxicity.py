@@ -10,45 +10,47 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import batches_by_bytes, only, utf8
+from tidelog.llm.common import batches_by_bytes, only
 from tidelog.llm.linear import fit_logistic, sigmoid
 
-#: n-gram lengths in bytes; each has a table of 2^BITS hashed features.
+#: n-gram lengths in characters (code points); each has a table of 2^BITS hashed features.
 LENGTHS, BITS = (3, 4, 5, 6), 18
 WIDTH = len(LENGTHS) << BITS
 #: Labelled rows that a model is fitted on, at most; features it keeps, at most. A feature is kept if its log-count
 #: ratio is SURE standard errors from 0; if fewer than FEW are, the FEW furthest.
 SURE, FEW = 4.0, 512
 MAX_TRAIN, MAX_FEATURES = 8192, 16384
-_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
+_BASE, _SPREAD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each length the features that start at each byte, and the text that each byte belongs to.
+def grams(texts: list[object]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length (text, feature) of every n-gram of that many characters.
 
-    Texts are lower-cased (A-Z) and stand between blanks; zero bytes part them, so no n-gram holds two texts.
+    Texts are lower-cased and stand between two blanks, null ones are empty; no n-gram reaches over its text's blanks.
+    An n-gram's hash is a polynomial of its code points modulo 2^64, spread over its length's table.
     """
-    padded = [b" " + t.lower() + b" " + bytes(max(LENGTHS)) for t in texts]
-    b = np.frombuffer(b"".join(padded), np.uint8).astype(np.uint64)
-    owner = np.repeat(np.arange(len(texts)), [len(p) for p in padded])
-    b = np.concatenate((b, np.zeros(max(LENGTHS), np.uint64)))
-    size, code, out = len(owner), b[: len(owner)].copy(), []
-    for k in range(1, max(LENGTHS)):
-        code |= b[k : k + size] << np.uint64(8 * k)
+    padded = [f" {t.lower() if isinstance(t, str) else ''} " for t in texts]
+    sizes = np.array([len(p) for p in padded], np.int64)
+    size = int(sizes.sum())
+    c = np.zeros(size + max(LENGTHS), np.uint64)
+    c[:size] = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner, left = np.repeat(np.arange(len(texts)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(size)
+    code, out = np.zeros(size, np.uint64), []
+    for k in range(max(LENGTHS)):
+        code = code * _BASE + c[k : k + size]
         if k + 1 in LENGTHS:
-            i = LENGTHS.index(k + 1)
-            out.append(((code * _ODD[i]) >> np.uint64(64 - BITS)).astype(np.int32) + np.int32(i << BITS))
-    return out, owner
+            i, whole = LENGTHS.index(k + 1), left > k
+            out.append((owner[whole], ((code[whole] * _SPREAD) >> np.uint64(64 - BITS)).astype(np.int32) + np.int32(i << BITS)))
+    return out
 
 
-def present(texts: list[bytes], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def present(texts: list[object], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of each feature that a text has, once; those that keep marks, if given."""
-    found, owner = grams(texts)
     keys = []
-    for f in found:
+    for owner, f in grams(texts):
         at = slice(None) if keep is None else np.flatnonzero(keep[f])
         keys.append(np.unique(owner[at].astype(np.int64) << 32 | f[at].astype(np.int64)))
-    key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+    key = np.concatenate(keys)
     return (key >> 32).astype(np.int64), (key & 0xFFFFFFFF).astype(np.int64)
 
 
@@ -57,7 +59,7 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: list[object]) -> np.ndarray:
         row, feature = present(texts, self.weights != 0)
         return sigmoid(np.bincount(row, weights=self.weights[feature], minlength=len(texts))[: len(texts)] + self.bias)
 
@@ -71,7 +73,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
 
     Tasks count the classes' documents for each hashed feature; a log-count ratio with add-one smoothing scales each,
     and those that stand out from chance are kept, max_features at most. Without rows of both classes the model is a
-    constant, the smoothed share of label 1. A row with several labels counts with each; null labels are left out.
+    constant, the smoothed share of label 1. A row with several labels counts with each; null labels and null ids are
+    left out; labels of absent documents count for the bound only; ties in the order of labels fall by (id, label), of
+    features by their number; null and empty texts have the n-grams of an empty text; texts are taken whole; other
+    columns are not read; empty tables give a constant.
     """
     spark = docs.sparkSession
     chosen = only(labels, id_col, label_col).toDF("id", "y").where("y is not null").where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "y").limit(max_train)
@@ -82,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, n = np.zeros((2, WIDTH), np.int32), np.zeros(2, np.int64)
         for pdf in batches_by_bytes(batches, "text", 1 << 20):
-            row, feature = present([utf8(t) for t in pdf["text"]])
+            row, feature = present(list(pdf["text"]))
             y = pdf["y"].to_numpy()
             for c in (0, 1):
                 sums[c] += np.bincount(feature[y[row] == c], minlength=WIDTH).astype(np.int32)
@@ -108,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_by_bytes(batches, "text", 1 << 20):
-            row, feature = present([utf8(t) for t in pdf["text"]], place >= 0)
+            row, feature = present(list(pdf["text"]), place >= 0)
             order = np.argsort(row, kind="stable")
             parts = np.split(place[feature[order]], np.cumsum(np.bincount(row, minlength=len(pdf)))[:-1])
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "has": [np.sort(p).astype(np.int32).tobytes() for p in parts]})
@@ -125,12 +130,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): every whole text's chance of label 1, a row each. Null and empty texts score as an empty text does."""
+    """(id, score): every whole text's chance of label 1, a row each. Null and empty texts score as an empty text does;
+    null ids and repeated rows come back as they came, equal texts have equal scores; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH floats, whatever the input
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches_by_bytes(batches, "text"):
-            yield pd.DataFrame({"id": pdf["id"], "score": shared.value.scores([utf8(t) for t in pdf["text"]])})
+            yield pd.DataFrame({"id": pdf["id"], "score": shared.value.scores(list(pdf["text"]))})
 
     kind = docs.schema[id_col].dataType.simpleString()
     return only(docs, id_col, text_col).toDF("id", "text").mapInPandas(run, f"id {kind}, score double")
