@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.common import batches_by_bytes, connected_components, only, utf8, written
 
-#: Bounds of the tree's top: fingerprints in the sample that shapes it, those meant for a leaf, and its leaves.
-SAMPLE, PER_LEAF, LEAVES = 4096, 4096, 256
+#: Fingerprints meant for a leaf of the tree's top; its leaves at most; fingerprints a leaf in the sample that shapes it,
+#: and in all at least. The sample is so at most EACH * LEAVES longs, 2 MB.
+PER_LEAF, LEAVES, EACH, SAMPLE = 4096, 1 << 14, 16, 4096
 
 
 def fingerprint(text: object, words: int = 5, seed: int = 42) -> int:
@@ -176,28 +177,33 @@ def close_pairs(homes: np.ndarray, asking: np.ndarray, reach: int, tile: int = 1
 def links(fps: DataFrame, reach: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that join all that are `reach` bits apart or fewer.
 
-    The driver shapes a tree of at most LEAVES leaves from at most SAMPLE fingerprints, chosen by hash. Every
-    fingerprint goes to its home leaf and, as a query, to each later leaf that its ball overlaps, packed many to a row.
-    A leaf that the sample shows to be crowded is cut into blocks, each of which meets all the leaf's queries. A task
-    searches one block with a local tree and gives stars of what it links, so no task gives more rows than it has
+    The driver shapes a tree whose leaves grow in number with the fingerprints, up to LEAVES, from a bounded sample that
+    a hash chooses. Every fingerprint goes to its home leaf and, as a query, to each later leaf that its ball overlaps,
+    packed many to a row. Leaves that the sample shows to be crowded, or to be asked by many, are cut into blocks on
+    either side, and each pair of blocks is a task, so no task holds more than about 2 PER_LEAF homes and 16 PER_LEAF
+    queries. It searches them with a local tree and gives stars of what it links, so no task gives more rows than it has
     fingerprints, and no link between different fingerprints is lost.
     """
-    few = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     n = fps.count()
-    tree, held = build(few, min(LEAVES, 1 << max(0, int(np.ceil(np.log2(max(1, n / PER_LEAF)))))))
-    blocks = [max(1, round(n * k / max(1, len(few)) / (2 * PER_LEAF))) for k in held]
+    leaves = min(LEAVES, 1 << max(0, int(np.ceil(np.log2(max(1, n / PER_LEAF))))))
+    few = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(max(SAMPLE, EACH * leaves)).collect()], np.int64).view(np.uint64)
+    tree, held = build(few, leaves)
+    home, touched = route(tree, few, reach)
+    each = n / max(1, len(few))
+    blocks = [max(1, round(each * k / (2 * PER_LEAF))) for k in held]
+    askers = [max(1, round(each * int((home[asking] <= leaf).sum()) / (16 * PER_LEAF))) for leaf, asking in sorted(touched, key=lambda x: x[0])]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = pdf["fp"].to_numpy(np.int64).view(np.uint64)
             home, touched = route(tree, x, reach)
-            rows = []
+            mixed, rows = x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33), []
             for leaf, asking in touched:
-                own = asking[home[asking] == leaf]
-                block = (x[own] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks[leaf])
-                queries = x[asking[home[asking] <= leaf]].tobytes()
-                for k in range(blocks[leaf]):
-                    rows.append((leaf * 1_000_000 + k, x[own[block == k]].tobytes(), queries))
+                own, queries = asking[home[asking] == leaf], asking[home[asking] <= leaf]
+                block, side = mixed[own] % np.uint64(blocks[leaf]), mixed[queries] % np.uint64(askers[leaf])
+                homes = [x[own[block == k]].tobytes() for k in range(blocks[leaf])]
+                asks = [x[queries[side == j]].tobytes() for j in range(askers[leaf])]
+                rows += [(leaf << 40 | k << 20 | j, h, q) for k, h in enumerate(homes) for j, q in enumerate(asks) if h or q]
             yield pd.DataFrame(rows, columns=["shard", "homes", "asking"])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -211,9 +217,10 @@ def links(fps: DataFrame, reach: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, reach: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component): fingerprint and the least id among the documents that links of `reach` bits reach.
 
-    Equal fingerprints count as linked and are searched once; a text without words has fingerprint 0 and links like any
-    other; a null id is never a component's name unless all its ids are null; repeated rows come back as often as they
-    came; an empty table gives no rows.
+    Equal fingerprints count as linked and are searched once; a text without words, null or empty, has fingerprint 0 and
+    links like any other; texts of any length are shingled whole; a bit that exactly half the shingles have is 0; a null
+    id is never a component's name unless all its ids are null; repeated rows come back as often as they came; other
+    columns are not read; an empty table gives no rows.
     """
     marked, _ = written(fingerprints(docs, words, id_col, text_col))
     groups, _ = written(marked.groupBy("fp").agg(F.min("id").alias("least")))
