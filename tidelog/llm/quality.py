@@ -69,11 +69,14 @@ class Batch:
             | (self.letters == 0).astype(np.int64) << 8
         )
         self.breaks = np.flatnonzero(cls == 2)
+        self.inner = np.ones(len(cls), bool)  # where four bytes in a row are all of one text and its padding
+        self.inner[(np.cumsum(sizes)[:, None] - np.arange(1, 4)).ravel()] = False
 
     def _distinct_pairs(self, together: np.ndarray) -> np.ndarray:
         """How many different pairs of neighbouring words each text has."""
         owner = self.word_owner[1:][together].astype(np.uint64)
-        code = (self.whole[:-1] * np.uint64(3) + self.whole[1:] * np.uint64(0x9E3779B97F4A7C15))[together]
+        code = (self.whole[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + self.whole[1:] * np.uint64(0x165667B19E3779F9))[together]
+        code = (code ^ code >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)  # upper bits that all bytes decide
         code = np.sort(code >> np.uint64(20) | owner << np.uint64(44))  # 44 bits of hash behind the text's number
         new = np.concatenate(([True], code[1:] != code[:-1])) if len(code) else np.zeros(0, bool)
         return np.bincount((code[new] >> np.uint64(44)).astype(np.int64), minlength=self.n)
@@ -117,13 +120,13 @@ class Batch:
         """(text, feature, weight) arrays of the hashed features: shares of a text's bytes and of its words, damped for short texts."""
         c = np.concatenate((self.cls, np.zeros(3, np.uint8))).astype(np.int32)
         size = len(self.cls)
-        four = c[:size] << 12 | c[1 : size + 1] << 8 | c[2 : size + 2] << 4 | c[3 : size + 3]
+        four = (c[:size] << 12 | c[1 : size + 1] << 8 | c[2 : size + 2] << 4 | c[3 : size + 3])[self.inner]
         before = np.concatenate(([511], self.shape[:-1])) if len(self.shape) else self.shape
         if len(self.shape):
             before[np.concatenate(([True], self.word_owner[1:] != self.word_owner[:-1]))] = 511
         pair = CHAR + (((before << 9 | self.shape) * 40503 >> 4) & (PAIR - 1))
         alone = CHAR + (((510 << 9 | self.shape) * 40503 >> 4) & (PAIR - 1))
-        return [(self.owner, four, 1 / (self.bytes + 32)), (self.word_owner, pair, 1 / (self.words + 8)), (self.word_owner, alone, 1 / (self.words + 8))]
+        return [(self.owner[self.inner], four, 1 / (self.bytes + 32)), (self.word_owner, pair, 1 / (self.words + 8)), (self.word_owner, alone, 1 / (self.words + 8))]
 
 
 @dataclass
@@ -179,7 +182,12 @@ class Scorer:
 
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
-    """Votes of all documents give the label model; about max_train documents, chosen by hash, give the scorer."""
+    """Votes of all documents give the label model; about max_train documents, chosen by hash, give the scorer.
+
+    A text has at most WIDTH features, so what the driver gathers is bounded too, however long texts are. Null texts are
+    empty and vote as such; equal texts are chosen together or not at all if their ids are equal; other columns are not
+    read; without documents the label model is its prior and the scorer a constant.
+    """
     texts = only(docs, id_col, text_col).toDF("id", "text")
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +195,7 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", tex
             keys, n = np.unique(Batch([utf8(t) for t in pdf["text"]]).votes() @ (3 ** np.arange(len(LABELLERS))), return_counts=True)
             yield pd.DataFrame({"pattern": keys, "n": n})
 
-    seen = texts.select("text").mapInPandas(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()  # 3^8 rows at most
+    seen = texts.select("text").mapInPandas(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()  # 3^9 rows at most
     patterns = seen["pattern"].to_numpy(np.int64)[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
     model = fit_labels(patterns, seen["n"].to_numpy(float))
     share = min(1.0, max_train / max(1, int(seen["n"].sum())))
@@ -224,7 +232,9 @@ def fit(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", tex
 def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, votes, posterior, score, keep), a row for each document; votes has a letter for each labeller: g, b or -.
 
-    Null and empty texts have score 0 and are not kept; repeated rows come back as often as they came.
+    Null and empty texts, and those without words, have score 0 and are not kept; a score at the threshold is; texts of
+    any length are read whole; null ids and repeated rows come back as often as they came, equal texts with equal scores;
+    other columns are not read; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # WIDTH floats, whatever the input
 
@@ -238,7 +248,8 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, id_col: str =
 
 
 def kept(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the scorer keeps, all columns as they are."""
+    """The rows of docs that the scorer keeps, all columns as they are, whatever their names. Nulls, long texts, ties,
+    repeated rows and empty tables are as in score()."""
     shared, at = docs.sparkSession.sparkContext.broadcast(scorer), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
