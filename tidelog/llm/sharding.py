@@ -67,27 +67,33 @@ def place(key: Column, tree: list[Leaf]) -> Column:
     return descend(live, ("region", "rack", "shard"), "")
 
 
+#: What shard() adds to a document.
+MADE = ("size", "text_crc32", "law", "shard", "grown_shard", "slot")
+
+
 def shard(docs: DataFrame, tree: list[Leaf], grown: list[Leaf] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with size, text_crc32, law, shard, slot and grown_shard, which replace columns of these names.
+    """docs with size, text_crc32, law, shard, grown_shard and slot, which replace columns of these names in any case.
 
     law is always "key": the id and the tree decide. size: UTF-8 bytes of the text (null: none) plus 8. slot numbers a
     shard's rows from 0 without gaps, in the order of (md5 bucket of the id, id, size, checksum): rows are counted by
     (shard, bucket of 4096), the counts' prefix sums place each bucket, and a window numbers the rows inside one, so no
     task holds a shard. Null ids share one key, are dealt like any other key, and come first in their bucket; repeated
-    rows get slots of their own; texts have no effect on the shard; an empty table gives no rows. Columns that start with _shard_ are not carried.
+    rows get slots of their own; texts have no effect on the shard, whatever their length; an empty table gives no rows.
     """
-    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    made = {
-        "size": F.octet_length(text).cast("long") + F.lit(8).cast("long"),
-        "text_crc32": F.crc32(text.cast("binary")).cast("long"),
-        "law": F.lit("key"),
-        "shard": place(key, tree).cast("int"),
-        "grown_shard": (place(key, grown) if grown else F.lit(None)).cast("int"),
-    }
-    put = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (*made, "slot") and not c.startswith("_shard_")], *[x.alias(n) for n, x in made.items()], F.substring(F.md5(key.cast("binary")), 1, 3).alias("_shard_bucket"))
-    counts = put.groupBy("shard", "_shard_bucket").agg(F.count("*").alias("n"))
-    starts = counts.selectExpr("shard as _shard_s", "_shard_bucket as _shard_b", "sum(n) over (partition by shard order by _shard_bucket rows between unbounded preceding and current row) - n as _shard_start")
-    ranked = put.selectExpr("*", f"row_number() over (partition by shard, _shard_bucket order by `{id_col}`, size, text_crc32) as _shard_r")
-    joined = ranked.join(starts, (F.col("shard") == F.col("_shard_s")) & (F.col("_shard_bucket") == F.col("_shard_b"))).withColumn("slot", (F.col("_shard_start") + F.col("_shard_r") - F.lit(1)).cast("long"))
-    return joined.drop("_shard_s", "_shard_b", "_shard_bucket", "_shard_start", "_shard_r")
+    own, whole = (f"_shard_c{docs.columns.index(c)}" for c in (id_col, text_col))
+    key = F.coalesce(F.col(own).cast("string"), F.lit("null"))
+    text = F.coalesce(F.col(whole), F.lit(""))
+    put = docs.toDF(*[f"_shard_c{i}" for i in range(len(docs.columns))]).select(
+        "*",
+        (F.octet_length(text).cast("long") + F.lit(8).cast("long")).alias("_shard_size"),
+        F.crc32(text.cast("binary")).cast("long").alias("_shard_crc"),
+        place(key, tree).cast("int").alias("_shard_n"),
+        (place(key, grown) if grown else F.lit(None)).cast("int").alias("_shard_grown"),
+        F.substring(F.md5(key.cast("binary")), 1, 3).alias("_shard_bucket"),
+    )
+    counts = put.groupBy("_shard_n", "_shard_bucket").agg(F.count("*").alias("n"))
+    starts = counts.selectExpr("_shard_n as _shard_s", "_shard_bucket as _shard_b", "sum(n) over (partition by _shard_n order by _shard_bucket rows between unbounded preceding and current row) - n as _shard_start")
+    ranked = put.selectExpr("*", f"row_number() over (partition by _shard_n, _shard_bucket order by {own}, _shard_size, _shard_crc) as _shard_r")
+    joined = ranked.join(starts, (F.col("_shard_n") == F.col("_shard_s")) & (F.col("_shard_bucket") == F.col("_shard_b")))
+    made = (F.col("_shard_size"), F.col("_shard_crc"), F.lit("key"), F.col("_shard_n"), F.col("_shard_grown"), (F.col("_shard_start") + F.col("_shard_r") - F.lit(1)).cast("long"))
+    return joined.select(*[F.col(f"_shard_c{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in MADE], *[x.alias(n) for n, x in zip(MADE, made, strict=True)])
