@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,19 +24,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a local folder is made, once a session.
+    Where that is unset, a local folder is made, once a session, if all runs on one machine; on a cluster it is an error,
+    since each executor would write to a disk of its own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='tidelog-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The session's own folder in the shared one, where written() puts its tables."""
+    return f"{shared_dir(spark)}/tidelog/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this session has written, once the results that read them are no longer wanted."""
+    dropped(spark, run_dir(spark))
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """The rows of df written as a table in the shared folder and read back, which cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidelog/{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -1,11 +1,12 @@
-"""Near-duplicate texts at a shingle similarity: SimHash candidates between shells of a vantage point, exact checks.
-
-A document is its set of word shingles. In the Hamming metric of such sets the empty set is a vantage point: a document
-of s shingles is s away from it. Sets of Jaccard similarity t differ by no more than the triangle bound allows sizes to
-differ: the smaller has at least t times the larger's shingles. So shells of sizes in the ratio t meet themselves and
-the next shell only. (Vantage points among the fingerprints prune nothing here: at similarity 0.8 some 15 % of all bits
-differ, more than the distances to any fixed fingerprint vary.) Inside a pair of shells, 256-bit SimHashes name the
-candidates, and shingle sets decide.
+"""Near-duplicate texts at a shingle similarity: vantage-point trees over SimHashes, and exact checks of shingle sets.
+
+The top of the tree has one vantage point, the empty document: in the Hamming metric of shingle sets a document of s
+shingles is s away from it, and of two sets of Jaccard similarity t the smaller has at least t times the larger's
+shingles. So rings of sizes in the ratio t are the shards, and each overlaps itself and the next only. Inside a pair of
+shards, vantage points among the 256-bit SimHashes cut both sides by Hamming distance, and a branch is pruned where the
+triangle bound keeps its fingerprints further apart than similar sets ever are. What is left is compared, and whole
+shingle sets decide. Fingerprints of unlike texts are all about 128 bits apart, and those of similar sets may be 80, so
+balls around a vantage point separate groups of copies from the rest, but not the rest from itself.
 """
 
 from __future__ import annotations
@@ -111,6 +112,49 @@ def candidates(bits: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.n
         yield a[near], b[near]
 
 
+def distances(bits: np.ndarray, rows: np.ndarray, point: int) -> np.ndarray:
+    """Differing bits of the rows' fingerprints and one row's."""
+    return np.bitwise_count(bits[:, rows] ^ bits[:, point][:, None]).sum(axis=0, dtype=np.int16)
+
+
+def best_ball(bits: np.ndarray, left: np.ndarray, right: np.ndarray, reach: int, tries: int = 4) -> tuple[float, np.ndarray, np.ndarray, int] | None:
+    """(pairs left, distances of either side, radius) of the vantage point and radius, of a few rows and all radii, that
+    leave the fewest pairs to compare; None if there is nothing to choose."""
+    best, radii = None, np.arange(64 * len(bits))
+    for point in left[:: max(1, len(left) // tries)][:tries]:
+        dl, dr = distances(bits, left, point), distances(bits, right, point)
+        sl, sr = np.sort(dl), np.sort(dr)
+        near = np.searchsorted(sl, radii, "right")
+        work = near * np.searchsorted(sr, radii + reach, "right") + (len(left) - near) * (len(right) - np.searchsorted(sr, radii - reach, "right"))
+        k = int(work.argmin())
+        if best is None or work[k] < best[0]:
+            best = (float(work[k]), dl, dr, int(radii[k]))
+    return best
+
+
+def near_pairs(bits: np.ndarray, size: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float, least: int = 1 << 21, seen: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """candidates() of the left and right rows, found by a vantage-point tree.
+
+    A left row is on one side of a ball; by the triangle inequality a right row's partners are outside the ball if it is
+    further from the vantage point than radius and reach together, and inside if it is nearer than radius less reach, so
+    right rows whose reach overlaps the boundary go both ways. Cuts that would prune under a thirtieth of the pairs
+    are not made. seen collects how many pairs each leaf compares.
+    """
+    if not len(left) or not len(right):
+        return
+    if len(left) * len(right) > least:
+        reach = ALL[0] if size[left].min() < SMALL else ALL[1]
+        work, dl, dr, radius = best_ball(bits, left, right, reach)
+        if work < (1 - 1 / 30) * len(left) * len(right):
+            near = dl <= radius
+            yield from near_pairs(bits, size, left[near], right[dr - reach <= radius], similarity, least, seen)
+            yield from near_pairs(bits, size, left[~near], right[dr + reach > radius], similarity, least, seen)
+            return
+    if seen is not None:
+        seen.append(len(left) * len(right))
+    yield from candidates(bits, size, left, right, similarity)
+
+
 def sides(task: str, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     k, i, l, j = task.split(":")
     every = np.arange(len(side))
@@ -122,10 +166,11 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
 
     t is a hash of the text, lead the least one in the component, which tells components apart that have no id or the
     same least id, where one id has several texts. Similarity is Jaccard over sets of word shingles (32-bit hashes in
-    the exact check); texts of equal sets are one class, texts without words too. Every pair of classes that the sizes allow is compared by fingerprint, in blocks;
-    the classes that have a candidate bring their shingle sets to a second round of blocks, where a pair is checked
-    unless links found there already join it. Tasks give stars, never pairs. A component of null ids only has none
-    for a name; repeated rows come back each; an empty table gives no rows.
+    the exact check); texts of equal sets are one class, texts without words, null or empty, too. Every pair of classes
+    that the sizes allow is searched by fingerprint, in blocks; the classes that have a candidate bring their shingle
+    sets to a second round of blocks, where a pair is checked unless links found there already join it. Tasks give
+    stars, never pairs. Texts of any length are shingled whole; a tie at the similarity links; a component of null ids
+    only has none for a name; repeated rows come back each; other columns are not read; an empty table gives no rows.
     """
     base = 1 / similarity
     marked, _ = written(prints(docs, words, id_col, text_col))
@@ -156,7 +201,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
         node, *bits, size = np.concatenate(parts, axis=1)
         found = np.zeros(len(node), bool)
         left, right = sides(pdf["task"].iloc[0], side)
-        for a, b in candidates(np.stack(bits).view(np.uint64), size, left, right, similarity):
+        for a, b in near_pairs(np.stack(bits).view(np.uint64), size, left, right, similarity):
             found[a] = found[b] = True
         return pd.DataFrame({"node": node[found]})
 
@@ -181,7 +226,7 @@ def groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, block: int
         left, right = sides(pdf["task"].iloc[0], pdf["side"].to_numpy())
         bits = np.stack([pdf[c].to_numpy(np.int64) for c in PRINTS]).view(np.uint64)
         linked: set[int] = set()
-        for a, b in candidates(bits, size, left, right, similarity):
+        for a, b in near_pairs(bits, size, left, right, similarity):
             for i, j in zip(a.tolist(), b.tolist(), strict=True):
                 x, y = int(node[i]), int(node[j])
                 if x == y or tree.root(x) == tree.root(y):
