@@ -96,35 +96,42 @@ def checked(name: object, arguments: object, tools: dict[str, dict]) -> tuple[st
 
 
 def _ordered(edges: DataFrame) -> DataFrame:
-    """(ck, call_id, s, l, cycle) of the calls that have to wait beyond their own turn, or for a cycle of calls.
+    """(ck, call_id, s, l, cycle) of the calls that may have to wait beyond their own turn.
 
-    edges (ck, call_id, turn, ref, dturn, dres): a call, and a call with a result that it names. Each round only the
-    calls that moved last are looked at, and their dependents may move. A call that moves in round k ends a chain of k
-    moves; where its conversation has fewer calls that ever moved, the chain has met itself. Every cycle has a call that
-    moves in each round, so all cycles are found, and whoever waits for a call in one joins it. So rounds grow with the
-    longest chain of moves and waits in one conversation, and a round's work with the calls that moved in it.
+    edges (ck, call_id, turn, ref, dturn, dres): a call, and a call with a result that it names. Only calls that name a
+    result that is not earlier than they are, and those that wait for such calls, can move: they are found first. Then
+    calls whose named calls all have their places get theirs, round by round; those that are left when none does wait in
+    a cycle or for one. So rounds grow with the longest chain of waits among these calls, not with how many they are.
     """
-    spark = edges.sparkSession
-    later = "struct(greatest({s}, dres) as s, case when dres > {s} then 1 else {l} + 2 end as l)"
-    state, state_path, k = spark.createDataFrame([], "ck string, call_id string, h struct<s: bigint, l: int>, round int, cycle boolean, n bigint"), None, 1
-    found = edges.selectExpr("ck", "call_id", "turn", f"{later.format(s='dturn', l='0')} as w", "false as hit")
+
+    def wait(s: str, l: str) -> str:
+        return f"struct(greatest({s}, dres) as s, case when dres > {s} then 1 else {l} + 2 end as l)"
+
+    spark, k = edges.sparkSession, 0
+    late = edges.where("greatest(dturn, dres) >= turn").select("ck", "call_id").distinct()
+    reach, path = written(late.withColumn("round", F.lit(0)))
+    while True:  # whoever waits for them
+        front = reach.where(F.col("round") == k).select("ck", F.col("call_id").alias("ref"))
+        if not front.take(1):
+            break
+        more = edges.join(front, ["ck", "ref"]).select("ck", "call_id").distinct().join(reach.select("ck", "call_id"), ["ck", "call_id"], "left_anti")
+        now, now_path = written(reach.union(more.withColumn("round", F.lit(k + 1))))
+        dropped(spark, path)
+        reach, path, k = now, now_path, k + 1
+    moving = reach.select("ck", "call_id")
+    inner, _ = written(edges.join(moving, ["ck", "call_id"], "left_semi").join(moving.select("ck", F.col("call_id").alias("ref"), F.lit(1).alias("open")), ["ck", "ref"], "left"))
+    start = inner.groupBy("ck", "call_id").agg(F.sum(F.coalesce("open", F.lit(0))).alias("left"), F.max("turn").alias("turn"), F.max(F.expr(f"case when open is null then {wait('dturn', '0')} end")).alias("w"))
+    state, path = written(start.selectExpr("ck", "call_id", "left", "greatest(w, struct(turn as s, 0 as l)) as h", "case when left = 0 then 0 end as round"))
+    k = 0
     while True:
-        best = found.where("hit or w.s >= turn").groupBy("ck", "call_id").agg(F.max(F.expr("case when not hit then w end")).alias("w"), F.max("hit").alias("hit"))
-        up = F.col("w").isNotNull() & (F.col("h").isNull() | (F.col("w") > F.col("h")))
-        own = state.drop("n").join(best, ["ck", "call_id"], "full").select(
-            "ck", "call_id", F.when(up, F.col("w")).otherwise(F.col("h")).alias("h"),
-            F.when(~F.coalesce("cycle", F.lit(False)) & (up | F.coalesce("hit", F.lit(False))), F.lit(k)).otherwise(F.col("round")).alias("round"), (F.coalesce("cycle", F.lit(False)) | F.coalesce("hit", F.lit(False))).alias("cycle"),
-        )
-        counts = own.groupBy("ck").agg(F.count("*").alias("n"))
-        now, now_path = written(own.join(counts, "ck").withColumn("cycle", F.col("cycle") | ((F.col("round") == k) & (F.col("n") < k))))
-        if state_path:
-            dropped(spark, state_path)
-        state, state_path = now, now_path
-        front = state.where(F.col("round") == k).selectExpr("ck", "call_id as ref", "h.s as fs", "h.l as fl", "cycle as hit")
+        front = state.where(F.col("round") == k).selectExpr("ck", "call_id as ref", "h.s as fs", "h.l as fl")
         if not front.take(1):
-            return state.selectExpr("ck", "call_id", "h.s", "h.l", "cycle")
-        found = edges.join(front, ["ck", "ref"]).selectExpr("ck", "call_id", "turn", f"{later.format(s='fs', l='fl')} as w", "hit")
-        k += 1
+            return state.selectExpr("ck", "call_id", "h.s", "h.l", "left > 0 as cycle")
+        found = inner.join(front, ["ck", "ref"]).groupBy("ck", "call_id").agg(F.count("*").alias("n"), F.max(F.expr(wait("fs", "fl"))).alias("w"))
+        gone = "left - coalesce(n, 0L)"
+        now, now_path = written(state.join(found, ["ck", "call_id"], "left").selectExpr("ck", "call_id", f"{gone} as left", "greatest(h, w) as h", f"case when round is null and {gone} = 0 then {k + 1} else round end as round"))
+        dropped(spark, path)
+        state, path, k = now, now_path, k + 1
 
 
 def link(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
