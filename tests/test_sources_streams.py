@@ -45,6 +45,22 @@ def test_small_logs(spark, tmp_path):
     assert [(r["seq"], r["fid"]) for r in logs.read_small_logs(spark, str(tmp_path), fids=(7,)).orderBy("seq").collect()] == [(0, 7), (2, 7)]
 
 
+def test_logs_in_splits(spark, tmp_path):
+    ship(spark)
+    folder = tmp_path / "file1" / "hostdir.3"
+    folder.mkdir(parents=True)
+    log = lambda pid, n: logs.encode_write_log([(10 * k, k, 1 + k % 7, k / 4, k / 4 + 1, pid) for k in range(n)])
+    whole = {"dropping.index.1.2.node.1": log(1, 1000), "dropping.index.1.2.node.2": log(2, 999) + b"partial", "dropping.index.1.2.n[1],x.3": log(3, 800), "dropping.index.1.2.node.4": log(4, 5) + b"half", "dropping.index.1.2.node.5": b""}
+    for name, content in whole.items():
+        (folder / name).write_bytes(content)
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    plain, cut = logs.read_write_logs(spark, str(tmp_path)), logs.read_write_logs(spark, str(tmp_path), large=4800, split=1000)
+    assert key(cut) == key(plain) and cut.count() == 1000 + 999 + 800 + 5
+    assert cut.rdd.getNumPartitions() >= 48  # 48,000 bytes in splits of 20 records
+    seqs = cut.where("pid = 1").select("seq", "logical_offset").orderBy("seq").collect()
+    assert [(r["seq"], r["logical_offset"]) for r in seqs] == [(k, 10 * k) for k in range(1000)]
+
+
 def test_serial_trace(spark, tmp_path):
     head = "# Index of file\n# 0 /store/hostdir.1/dropping.data.12.34.node.4711\n# 1 /store/hostdir.2/dropping.data.12.35.node.99\nID Logical_offset Length Begin_timestamp End_timestamp  Logical_tail ID.Chunk_offset \n"
     (tmp_path / "a.txt").write_text(head + "0 w 0 10 0.5 1.5 9 [0.0]\n1 w 10 5 1.0 2.0 14 [1.0]\n5 w 20 1 1.0 2.0 20\n")

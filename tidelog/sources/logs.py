@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,9 @@ TRIPLES = {"q": np.dtype([("id", "<i8"), ("beg", "<i8"), ("end", "<i8")]), "d":
 SECTION_MARK = "#" * 26
 SECTIONS = ("head", "bandwidth", "running", "finished", "sizes")
 
+SPLIT_OVER, SPLIT_BYTES = 1 << 28, 1 << 27  # bytes of a file read in splits, and of a split
+GLOB = re.compile(r"([\\*?\[\]{}])")
+
 
 def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, content) of the files under a folder whose names match; a folder that is gone is left out."""
@@ -32,20 +36,61 @@ def files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return reader.load(path).select("path", "content")
 
 
-def read_write_logs(spark: SparkSession, path: str, pattern: str = "dropping.index.*") -> DataFrame:
+def fixed_records(spark: SparkSession, path: str, pattern: str, layout: np.dtype, large: int = SPLIT_OVER, split: int = SPLIT_BYTES) -> DataFrame:
+    """(path, at, content): the files under a folder in pieces, at being the number of a piece's first record.
+
+    Smaller files come whole, many to a task. Files of `large` bytes or more are read in splits, a record a row, if they
+    hold whole records only and no comma or pattern sign is in their path; others come whole, which fails above 2 GB.
+    The driver lists large files alone: their number is bounded by the bytes there are.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("ignoreMissingFiles", "true")
+    listed, size = reader.load(path), layout.itemsize
+    parts, cut = [listed.where(F.col("length") < large)], []
+    rest = []
+    for row in listed.where(F.col("length") >= large).select("path", "length").toLocalIterator():
+        plain = row["length"] % size == 0 and "," not in row["path"] and not GLOB.search(row["path"])
+        (cut if plain else rest).append(row["path"])
+    if rest:
+        parts.append(spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load([GLOB.sub(r"\\\1", p) for p in rest]))
+    out = None
+    for part in parts:
+        own = part.select("path", F.lit(0).cast("long").alias("at"), "content")
+        out = own if out is None else out.unionByName(own)
+    if cut:
+        jvm = spark.sparkContext._jvm
+        conf = jvm.org.apache.hadoop.conf.Configuration(spark.sparkContext._jsc.hadoopConfiguration())
+        conf.set("mapreduce.input.fileinputformat.split.maxsize", str(split))
+        made = spark.sparkContext._jsc.sc().binaryRecords(",".join(cut), size, conf)
+        rows = DataFrame(spark._jsparkSession.createDataset(made, jvm.org.apache.spark.sql.Encoders.BINARY()).toDF(), spark)
+        # a task reads one split, which begins at a record
+        within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+        first = F.expr(f"input_file_block_start() div {size}")
+        out = out.unionByName(rows.select(F.input_file_name().alias("path"), (first + within).alias("at"), F.col("value").alias("content")))
+    return out
+
+
+def unpacked(pdf: pd.DataFrame, layout: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Paths, numbers and records of pieces of fixed_records; a partial last record is left out."""
+    counts = pdf["content"].map(len).to_numpy(np.int64) // layout.itemsize
+    records = np.frombuffer(b"".join(c[: n * layout.itemsize] for c, n in zip(pdf["content"], counts, strict=True)), layout)
+    shift = pdf["at"].to_numpy(np.int64) - (np.cumsum(counts) - counts)
+    return np.repeat(pdf["path"].to_numpy(), counts), np.arange(len(records)) + np.repeat(shift, counts), records
+
+
+def read_write_logs(spark: SparkSession, path: str, pattern: str = "dropping.index.*", large: int = SPLIT_OVER, split: int = SPLIT_BYTES) -> DataFrame:
     """Write records of index logs, with their host, and seq: the record's place in its log. A partial last record is
-    left out. One log is decoded in one task."""
+    left out. Logs of `large` bytes or more are read in splits."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                r = np.frombuffer(content, WRITE_RECORD, len(content) // WRITE_RECORD.itemsize)
-                yield pd.DataFrame(
-                    {"path": name, "pid": r["pid"].astype(np.int64), "seq": np.arange(len(r)), "logical_offset": r["logical_offset"], "physical_offset": r["physical_offset"], "length": r["length"],
-                     "begin_us": np.rint(r["begin"] * 1e6).astype(np.int64), "end_us": np.rint(r["end"] * 1e6).astype(np.int64)}
-                )
-
-    rows = files(spark, path, pattern).mapInPandas(decode, "path string, pid long, seq long, logical_offset long, physical_offset long, length long, begin_us long, end_us long")
+            paths, at, r = unpacked(pdf, WRITE_RECORD)
+            yield pd.DataFrame(
+                {"path": paths, "pid": r["pid"].astype(np.int64), "seq": at, "logical_offset": r["logical_offset"], "physical_offset": r["physical_offset"], "length": r["length"],
+                 "begin_us": np.rint(r["begin"] * 1e6).astype(np.int64), "end_us": np.rint(r["end"] * 1e6).astype(np.int64)}
+            )
+
+    pieces = fixed_records(spark, path, pattern, WRITE_RECORD, large, split)
+    rows = pieces.mapInPandas(decode, "path string, pid long, seq long, logical_offset long, physical_offset long, length long, begin_us long, end_us long")
     return rows.withColumn("host", F.regexp_extract("path", INDEX_NAME, 3)).withColumn("file_id", F.regexp_extract("path", r"([^/]+)/[^/]+/dropping\.index\.[^/]+$", 1))
 
 
@@ -66,19 +111,19 @@ def encode_small_log(rows: list[tuple[int, int, int, int, int]]) -> bytes:
     return out.tobytes()
 
 
-def read_small_logs(spark: SparkSession, path: str, pattern: str = "dropping.small.*", fids: tuple[int, ...] | None = None) -> DataFrame:
+def read_small_logs(spark: SparkSession, path: str, pattern: str = "dropping.small.*", fids: tuple[int, ...] | None = None, large: int = SPLIT_OVER, split: int = SPLIT_BYTES) -> DataFrame:
     """Small-file records with did, the number at the end of their log's name; ts is packed seconds and microseconds.
-    With fids, records of other files are skipped while logs are decoded; seq counts them all."""
+    With fids, records of other files are skipped while logs are decoded; seq counts them all. Logs of `large` bytes or
+    more are read in splits."""
     wanted = None if fids is None else np.array(fids, np.int64)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                r = np.frombuffer(content, SMALL_RECORD, len(content) // SMALL_RECORD.itemsize)
-                at = np.arange(len(r)) if wanted is None else np.flatnonzero(np.isin(r["fid"], wanted))
-                yield pd.DataFrame({"path": name, "seq": at, **{c: r[c][at] for c in SMALL_RECORD.names}})
+            paths, at, r = unpacked(pdf, SMALL_RECORD)
+            keep = slice(None) if wanted is None else np.isin(r["fid"], wanted)
+            yield pd.DataFrame({"path": paths[keep], "seq": at[keep], **{c: r[c][keep] for c in SMALL_RECORD.names}})
 
-    rows = files(spark, path, pattern).mapInPandas(decode, "path string, seq long, fid long, off long, length long, ts long, physical_offset long")
+    rows = fixed_records(spark, path, pattern, SMALL_RECORD, large, split).mapInPandas(decode, "path string, seq long, fid long, off long, length long, ts long, physical_offset long")
     return rows.withColumn("did", F.regexp_extract("path", r"(\d+)$", 1).cast("long")).withColumn("ts_us", F.shiftright("ts", 32) * 1_000_000 + F.col("ts").bitwiseAND(F.lit(0xFFFFFFFF))).drop("ts")
 
 
@@ -182,12 +227,11 @@ def read_triples(spark: SparkSession, path: str, kind: str = "q", pattern: str =
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content in pdf["content"]:
-                r = np.frombuffer(content, layout, len(content) // layout.itemsize)
-                r = r[(r["id"] != 0) | (r["beg"] != 0) | (r["end"] != 0)]
-                yield pd.DataFrame({c: r[c] for c in layout.names})
+            r = unpacked(pdf, layout)[2]
+            r = r[(r["id"] != 0) | (r["beg"] != 0) | (r["end"] != 0)]
+            yield pd.DataFrame({c: r[c] for c in layout.names})
 
-    return files(spark, path, pattern).mapInPandas(decode, ", ".join(f"{c} {column}" for c in layout.names))
+    return fixed_records(spark, path, pattern, layout).mapInPandas(decode, ", ".join(f"{c} {column}" for c in layout.names))
 
 
 def transfer(spark: SparkSession, source: str, target: str, pid: int) -> list[str]:
