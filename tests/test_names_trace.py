@@ -27,9 +27,20 @@ def test_renames_across_logs(spark):
     assert {r["name"] for r in got} == {f"RENAMED-{i}" for i in range(300)}
 
 
-def test_replay_is_a_fold(spark):
+def test_groups_of_renames(spark):
+    chain = [("d", 0, 0, k, k, 4, f"c{k:02}", f"c{k + 1:02}") for k in range(9)]
+    pairs = [("d", 0, 0, 100 + k, k, 4, f"tmp{k}", f"final{k}") for k in range(20)] + [("e", 0, 0, 200, 0, 4, "c00", "c01")]
+    got = {(r["dir_id"], r["name"]): (r["root"], r["chained"]) for r in names.rename_groups(spark.createDataFrame(chain + pairs, NAME_LOG)).collect()}
+    assert {n for (d, n), (_, c) in got.items() if c} == {f"c{k:02}" for k in range(10)}
+    assert all(got["d", f"tmp{k}"] == got["d", f"final{k}"] == (f"final{k}", False) for k in range(20))
+    assert got["e", "c01"] == ("c00", False) and len(got) == 10 + 40 + 2
+
+
+@pytest.mark.parametrize(("known", "renames"), [(12, 0.2), (150, 0.25), (150, 0.1)])
+def test_replay_is_a_fold(spark, known, renames):
     rng = random.Random(3)
-    log = [(rng.choice("xy"), rng.randrange(3), 10 * k, k, rng.randrange(150), rng.randrange(1, 6), f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for k in range(200)]
+    kind = lambda: 4 if rng.random() < renames else rng.choice((1, 1, 2, 3, 5))
+    log = [(rng.choice("xy"), rng.randrange(3), 10 * k, k, rng.randrange(150), kind(), f"n{rng.randrange(known)}", f"n{rng.randrange(known)}") for k in range(40 * 12 if known > 12 else 200)]
     rows = {}
     for d, did, rec, _, ts, op, a, b in sorted(log, key=lambda r: (r[4], r[1], r[3])):
         key = (d, a)
@@ -44,7 +55,7 @@ def test_replay_is_a_fold(spark):
                 del rows[key]
             if op == 4:
                 rows[d, b] = rows.pop(key)
-    got = {(r["dir_id"], r["name"]): [r["mtime_us"], [tuple(o) for o in r["opens"]]] for r in names.replay(spark.createDataFrame(log, NAME_LOG)).collect()}
+    got = {(r["dir_id"], r["name"]): [r["mtime_us"], [tuple(o) for o in r["opens"]]] for r in names.replay(spark.createDataFrame(log, NAME_LOG), records=50).collect()}
     assert got == rows
 
 

@@ -23,40 +23,55 @@ def replay_simple(log: DataFrame) -> DataFrame:
     return last.where(f"l.op = {CREATE}").select("dir_id", "name", F.col("l.ts_us").alias("created_us"))
 
 
-def replay(log: DataFrame) -> DataFrame:
+def rename_groups(log: DataFrame, rounds: int = 3) -> DataFrame:
+    """(dir_id, name, root, chained): for each name in a rename, the least name within `rounds` renames of it.
+
+    Names that renames connect have one root, unless some are further apart: all of these are marked as chained.
+    """
+    renamed = log.where(f"op = {RENAME}").select("dir_id", F.col("name").alias("a"), F.col("name_to").alias("b")).distinct()
+    way = renamed.selectExpr("dir_id", "inline(array(struct(a as u, b as v), struct(b as u, a as v), struct(a as u, a as v), struct(b as u, b as v)))")
+    roots = way.groupBy("dir_id", "u").agg(F.min("v").alias("root"))
+    for _ in range(rounds - 1):
+        roots = way.join(roots.withColumnRenamed("u", "v"), ["dir_id", "v"]).groupBy("dir_id", "u").agg(F.min("root").alias("root"))
+    both = way.join(roots, ["dir_id", "u"]).join(roots.selectExpr("dir_id", "u as v", "root as other"), ["dir_id", "v"])
+    parted = both.where("root <> other").select("dir_id", "root").distinct().withColumn("chained", F.lit(True))
+    return roots.join(parted, ["dir_id", "root"], "left").selectExpr("dir_id", "u as name", "root", "coalesce(chained, false) as chained")
+
+
+def replay(log: DataFrame, records: int = 1 << 16) -> DataFrame:
     """(dir_id, name, mtime_us, opens): the names that stand after all records, each with its (fid, did) pairs.
 
     Records act in the order (ts_us, did, seq): CREATE adds an absent name; OPEN adds a (rec_off, did) pair and sets the
     time; UTIME sets it; DELETE takes a name away; RENAME moves a row over any row at its target. Records of absent names
-    do nothing. Renames chain names, so a fold is needed: names that renames connect fold together, all others alone.
+    do nothing. Renames tie names, so a fold is needed: names that few renames connect fold together, in groups of about
+    `records` records over all directories; those of longer chains fold in one group a directory.
     """
-    edges = log.where(f"op = {RENAME}").select("dir_id", F.col("name").alias("a"), F.col("name_to").alias("b")).distinct()
-    tied = edges.selectExpr("dir_id", "explode(array(a, b)) as name").distinct()
-    chained = log.join(tied, ["dir_id", "name"], "left_semi").withColumn("part", F.lit("chained"))
-    alone = log.join(tied, ["dir_id", "name"], "left_anti").withColumn("part", F.concat(F.lit("n"), F.pmod(F.hash("name"), F.lit(64))))
+    count = log.groupBy().agg(F.expr(f"1 + count(*) div {records}").alias("_parts"))  # one row
+    tied = log.join(rename_groups(log), ["dir_id", "name"], "left").crossJoin(F.broadcast(count))
+    grouped = tied.withColumn("_part", F.expr("case when chained then concat('d', dir_id) else concat('n', pmod(xxhash64(dir_id, coalesce(root, name)), _parts)) end"))
     schema = f"dir_id {log.schema['dir_id'].dataType.simpleString()}, name string, mtime_us long, opens array<struct<fid:long,did:long>>"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: dict[str, list] = {}
+        rows: dict[tuple, list] = {}
         pdf = pdf.sort_values(["ts_us", "did", "seq"], kind="stable")
-        for op, name, target, ts, fid, did in zip(*(pdf[c] for c in ("op", "name", "name_to", "ts_us", "rec_off", "did")), strict=True):
+        for op, folder, name, target, ts, fid, did in zip(*(pdf[c] for c in ("op", "dir_id", "name", "name_to", "ts_us", "rec_off", "did")), strict=True):
+            own = folder, name
             if op == CREATE:
-                rows.setdefault(name, [ts, []])
-            elif name not in rows:
+                rows.setdefault(own, [ts, []])
+            elif own not in rows:
                 continue
             elif op == OPEN:
-                rows[name][0] = ts
-                rows[name][1].append({"fid": fid, "did": did})
+                rows[own][0] = ts
+                rows[own][1].append({"fid": fid, "did": did})
             elif op == UTIME:
-                rows[name][0] = ts
+                rows[own][0] = ts
             elif op == DELETE:
-                del rows[name]
+                del rows[own]
             elif op == RENAME:
-                rows[target] = rows.pop(name)
-        first = pdf["dir_id"].iloc[0]
-        return pd.DataFrame([(first, n, t, o) for n, (t, o) in rows.items()], columns=["dir_id", "name", "mtime_us", "opens"])
+                rows[folder, target] = rows.pop(own)
+        return pd.DataFrame([(*own, t, o) for own, (t, o) in rows.items()], columns=["dir_id", "name", "mtime_us", "opens"])
 
-    return chained.unionByName(alone).groupBy("dir_id", "part").applyInPandas(fold, schema)
+    return grouped.select("_part", "op", "dir_id", "name", "name_to", "ts_us", "rec_off", "did", "seq").groupBy("_part").applyInPandas(fold, schema)
 
 
 def index_of_names(current: DataFrame, index: DataFrame) -> DataFrame:
