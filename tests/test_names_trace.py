@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions import scalar
 from tidelog.operators import names, stat, trace
+from tidelog.plans.queries import QUERIES
 
 NAME_LOG = "dir_id string, did long, rec_off long, seq long, ts_us long, op int, name string, name_to string"
 SMALL = "did long, fid long, seq long, off long, length long, ts_us long, physical_offset long"
@@ -199,3 +200,16 @@ def test_bandwidth_is_the_sum_over_covered_bins(spark):
         for k in range(min(first, 49), min(first + spanned - 1, 49) + 1):
             want[k] += n / ((e - b) / 1e6) / 1048576
     assert [r["mib_s"] for r in trace.bandwidth_bins(frame, 50).orderBy("bin").collect()] == pytest.approx(want, abs=1e-4)
+
+
+@pytest.mark.parametrize("writers", [0, 36, 37])
+def test_sums_of_last_ends_may_pass_a_long(spark, tmp_path, writers):
+    # of the year 9999: 36 writers' ends fit a long, 37 do not
+    made = spark.range(2 * writers).selectExpr("id as event_id", "timestamp_ntz'9999-01-01 00:00:00' as ts", "id div 2 as user_id", "1D as value")
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    begin = 253370764800000000
+    ends = [begin + (2 + 2 * p) * 60000000 for p in range(writers)]
+    got = QUERIES["trace_bounds"](spark, str(tmp_path))
+    assert [tuple(r) for r in got.collect()] == [(begin, ends[-1], sum(ends), writers) if writers else (None, None, None, 0)]
+    assert dict(got.dtypes) == {"min_begin_us": "bigint", "max_end_us": "bigint", "sum_end_us": "decimal(38,0)" if sum(ends) >= 1 << 63 else "bigint", "writers": "bigint"}
+    assert (sum(ends) >= 1 << 63) == (writers == 37)

@@ -28,9 +28,10 @@ def projection(trace: DataFrame) -> DataFrame:
 
 
 def bounds(trace: DataFrame) -> DataFrame:
-    """First begin, last end, and the sum and count of the writers' last ends."""
+    """First begin, last end, and the sum and count of the writers' last ends. The sum is an exact decimal: of times since
+    1970, a long holds no more than about 5,000 writers'."""
     ends = trace.groupBy("pid").agg(F.min("begin_us").alias("b"), F.max("end_us").alias("e"))
-    return ends.agg(F.min("b").alias("min_begin_us"), F.max("e").alias("max_end_us"), F.sum("e").alias("sum_end_us"), F.count("*").alias("writers"))
+    return ends.agg(F.min("b").alias("min_begin_us"), F.max("e").alias("max_end_us"), F.sum(F.expr("cast(e as decimal(28, 0))")).alias("sum_end_us"), F.count("*").alias("writers"))
 
 
 def writer_end(trace: DataFrame) -> DataFrame:

@@ -213,6 +213,16 @@ def _trace(function: Callable[..., DataFrame], **how) -> Query:
     return lambda spark, sf_dir: function(fx.trace_log(spark, sf_dir), **how)
 
 
+def trace_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one row of the bounds. Its sum is a bigint, as in the SQL, where it fits one, and else the operator's decimal
+    (the SQL then fails)."""
+    found = trace.bounds(fx.trace_log(spark, sf_dir))
+    row = found.first()
+    if row["sum_end_us"] is None or -(1 << 63) <= row["sum_end_us"] < 1 << 63:
+        return spark.createDataFrame([row], found.schema).withColumn("sum_end_us", F.col("sum_end_us").cast("long"))
+    return spark.createDataFrame([row], found.schema)
+
+
 QUERIES: dict[str, Query] = {
     "resolve_extents": resolved,
     "merge_logs": merge_logs,
@@ -259,7 +269,7 @@ QUERIES: dict[str, Query] = {
     "small_lookup": small_lookups,
     "small_size": lambda s, d: names.small_size(fx.small_index(s, d)),
     "trace_projection": _trace(trace.projection),
-    "trace_bounds": _trace(trace.bounds),
+    "trace_bounds": trace_bounds,
     "trace_rejects": _trace(trace.rejects),
     "writer_end": _trace(trace.writer_end),
     "writer_spans": _trace(trace.writer_spans),
