@@ -213,3 +213,13 @@ def test_sums_of_last_ends_may_pass_a_long(spark, tmp_path, writers):
     assert [tuple(r) for r in got.collect()] == [(begin, ends[-1], sum(ends), writers) if writers else (None, None, None, 0)]
     assert dict(got.dtypes) == {"min_begin_us": "bigint", "max_end_us": "bigint", "sum_end_us": "decimal(38,0)" if sum(ends) >= 1 << 63 else "bigint", "writers": "bigint"}
     assert (sum(ends) >= 1 << 63) == (writers == 37)
+
+
+def test_a_report_of_many_writers_has_their_mean(spark):
+    base = 1 << 61  # 4 such ends pass a long
+    rows = [(p, p, 0, 1 << p, base + p * 1000000, base + (p + 5) * 1000000) for p in range(20)]
+    frame = spark.createDataFrame(rows, "pid long, seq long, logical_offset long, length long, begin_us long, end_us long")
+    got = {(r["section"], r["idx"]): r["value"] for r in trace.report(frame, 10).collect()}
+    ends = [r[5] for r in rows]
+    assert [got["head", k] for k in range(6)] == [10.0, base / 1e6, float(sum(ends)) / 20 / 1e6, 24e6 / 10 / 1e6, 4.0, 4.0]
+    assert len(got) == 6 + 3 * 10 + 51 and sum(v for (s, _), v in got.items() if s == "finished") == 20 == sum(v for (s, _), v in got.items() if s == "sizes")

@@ -54,7 +54,7 @@ def report(trace: DataFrame, bins: int = BINS) -> DataFrame:
     last end, a bin's width (seconds), and how many writers end late and early; then bandwidths, records in flight and
     finished by bin, and the size histogram."""
     own = bounds(trace).crossJoin(F.broadcast(straggler_counts(trace)))  # a row each
-    head = own.selectExpr(f"posexplode(array({bins}D, min_begin_us / 1e6D, sum_end_us / writers / 1e6D, (max_end_us - min_begin_us) / {bins} / 1e6D, cast(above as double), cast(below as double))) as (idx, value)")
+    head = own.selectExpr(f"posexplode(array({bins}D, min_begin_us / 1e6D, cast(sum_end_us as double) / writers / 1e6D, (max_end_us - min_begin_us) / {bins} / 1e6D, cast(above as double), cast(below as double))) as (idx, value)")
     parts = [("bandwidth", bandwidth_bins(trace, bins), "bin", "mib_s"), ("running", ios_running(trace, bins), "bin", "running"), ("finished", ios_finished(trace, bins), "bin", "finished"), ("sizes", size_histogram(trace), "bucket", "records")]
     out = head.selectExpr("'head' as section", "idx", "value")
     for name, found, at, value in parts:
